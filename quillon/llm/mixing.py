@@ -6,8 +6,9 @@ there and what is left is shared again by weight among the others until no
 share passes a cap. Ordering the sources by cap over weight makes the clamped
 ones a prefix, so one pass of running sums finds the level at which it stops.
 A source then repeats each document floor(target / size) times; for the
-fraction that is left, documents follow in the order of a seeded hash until
-their words reach it, each at most once more.
+fraction that is left, documents follow in the order of a seeded hash as long as
+their words fit, each at most once more, and of the rest of the last bin the one
+document whose size is nearest to what is still missing, if that comes nearer.
 
 The order of a source is never brought together in one task: hashes fall into
 bins, the sums of the bins say which bin the fraction ends in, and only that
@@ -95,10 +96,14 @@ def mix_sized(docs: DataFrame, weights=WEIGHTS, share=1.5, epochs=2.0, seed=17,
     placed = sized.join(cut, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("bin") == F.col("cut_bin")))
     columns = ["doc_id", "source", "size", "source_size", "target"]
     whole = placed.filter("state < 2").select(*columns, (F.col("whole") + F.col("state")).alias("repeats"))
-    inside = W.Window.partitionBy("source", "bin").orderBy("draw", "doc_id", "size").rowsBetween(W.Window.unboundedPreceding, -1)
-    ends = placed.filter("state = 2").withColumn("words_before", F.col("bin_before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    extra = (F.col("words_before") + F.col("size") / 2 <= F.col("rest")).cast("long")
-    edge = ends.select(*columns, (F.col("whole") + extra).alias("repeats"))
+    bin_of = W.Window.partitionBy("source", "bin")
+    drawn = bin_of.orderBy("draw", "doc_id", "size")
+    ends = placed.filter("state = 2").withColumn("words_up_to", F.col("bin_before") + F.sum("size").over(drawn.rowsBetween(W.Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("fits", F.col("words_up_to") <= F.col("rest"))
+    ends = ends.withColumn("short", F.col("rest") - F.greatest(F.col("bin_before"), F.coalesce(F.max(F.when(F.col("fits"), F.col("words_up_to"))).over(bin_of), F.lit(0))))
+    nearest = bin_of.orderBy("fits", F.abs(F.col("size") - F.col("short")), "draw", "doc_id", "size")
+    topped = ~F.col("fits") & (F.row_number().over(nearest) == 1) & (F.abs(F.col("size") - F.col("short")) < F.col("short"))
+    edge = ends.select(*columns, (F.col("whole") + (F.col("fits") | topped).cast("long")).alias("repeats"))
     return whole.unionByName(edge).withColumn("taken", F.col("repeats") * F.col("size"))
 
 
