@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
-from quillon.llm import media, mixing, sharding
+from pyspark.sql import functions as F
+
+from quillon.llm import media, mixing, secret_scan, sharding
 from quillon.session import table
 
 
+def joined_spans(spans):
+    """kind:start:end of an array of spans, comma-joined."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+def span_digest(found, base: tuple[str, ...]) -> list:
+    """The contract's columns for spans in their order: counts of base kinds, digest and all spans."""
+    of = lambda kinds: F.filter(found, lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of((kind,))).cast("long").alias(f"n_{kind}") for kind in base]
+    return [*counts, F.sha2(joined_spans(of(base)), 256).alias("base_sha256"), joined_spans(found).alias("spans")]
+
+
+def op2_secret_scan(spark, sf_dir):
+    """Secrets in every whole text."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *span_digest(F.col("found"), ("assign", "access", "hex")))
+
+
 def op3_mix_sources(spark, sf_dir):
     """Mixed words of each document under capped water-filling."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -22,5 +42,5 @@ def op8_media_columns(spark, sf_dir):
     return media.describe(media.store(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op5_shard_documents, op8_media_columns)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_mix_sources, op5_shard_documents, op8_media_columns)}
 ORACLES: dict[str, str] = {}
