@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.llm import media, mixing, secret_scan, sharding
+from quillon.llm import media, mixing, packing, secret_scan, sharding
 from quillon.session import table
 
 
@@ -20,6 +20,12 @@ def span_digest(found, base: tuple[str, ...]) -> list:
     return [*counts, F.sha2(joined_spans(of(base)), 256).alias("base_sha256"), joined_spans(found).alias("spans")]
 
 
+def op1_pack_along_curve(spark, sf_dir):
+    """Sequences of at most 1024 ids along the curve, as pieces of documents."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), 1024)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op2_secret_scan(spark, sf_dir):
     """Secrets in every whole text."""
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -42,5 +48,5 @@ def op8_media_columns(spark, sf_dir):
     return media.describe(media.store(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_mix_sources, op5_shard_documents, op8_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_pack_along_curve, op2_secret_scan, op3_mix_sources, op5_shard_documents, op8_media_columns)}
 ORACLES: dict[str, str] = {}
