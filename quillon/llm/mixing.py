@@ -63,7 +63,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, epochs: float = 2.0, seed: int = 17, rows_per_bin: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, epochs: float = 2.0, seed: int = 17, rows_per_bin: int = 5_000) -> DataFrame:
     """How often the mix takes each document.
 
     Returns ``doc_id``, ``source``, ``size``, ``source_size``, ``target``,
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     return mix_sized(docs.select("doc_id", "source", F.coalesce(size, F.lit(0)).cast("long").alias("size")), weights, share, epochs, seed, rows_per_bin)
 
 
-def mix_sized(docs: DataFrame, weights=WEIGHTS, share=1.5, epochs=2.0, seed=17, rows_per_bin=20_000) -> DataFrame:
+def mix_sized(docs: DataFrame, weights=WEIGHTS, share=1.5, epochs=2.0, seed=17, rows_per_bin=5_000) -> DataFrame:
     """As ``mix`` for rows that have ``doc_id``, ``source`` and ``size``."""
     sized = docs.select("doc_id", "source", "size").withColumn("draw", seeded_hash(F.col("doc_id"), seed))
     sized = save(sized)
