@@ -4,6 +4,8 @@ from pathlib import Path
 
 import pytest
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 SF = "/root/testdata/sf0.001"
