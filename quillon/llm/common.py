@@ -39,7 +39,7 @@ def save(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back, which cuts the lineage for good."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -22,7 +22,8 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
+import json
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -34,12 +35,12 @@ from pyspark.sql import functions as F
 from quillon.llm.common import map_arrow, save
 
 #: Distinct words whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 DIMENSIONS, BITS = 4, 15
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes, the same as the tokenizer's own.
+    """Token ids as little-endian bytes (of numpy type ``kind``), the same as the tokenizer's own.
 
     A cut before a space that follows a non-space never falls inside a
     pre-token, so words are encoded one by one and remembered. Texts with other
@@ -47,19 +48,25 @@ class Encoder:
     token by the tokenizer itself.
     """
 
-    def __init__(self, vocabulary: str, ranks: str) -> None:
+    def __init__(self, vocabulary: str, ranks: str, kind: str = "<u4") -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks, "rb") as lines:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._ordinary = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
-        self._tokenizer = Tokenizer.from_file(vocabulary)
-        self._special = tuple(t.content for t in self._tokenizer.get_added_tokens_decoder().values())
+        with open(vocabulary, encoding="utf-8") as described:
+            self._special = tuple(t["content"] for t in json.load(described)["added_tokens"])
+        self._vocabulary, self._kind = vocabulary, kind
         self._words: dict[str, bytes | None] = {}
 
+    @cached_property
+    def _tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self._vocabulary)
+
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return np.array(ids, self._kind).tobytes()
 
     def _word(self, word: str) -> bytes | None:
         if len(self._words) >= REMEMBERED:
@@ -87,8 +94,13 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder(vocabulary: str, ranks: str) -> Encoder:
-    return Encoder(vocabulary, ranks)
+def encoder(vocabulary: str, ranks: str, kind: str = "<u4") -> Encoder:
+    return Encoder(vocabulary, ranks, kind)
+
+
+def narrow(id_count: int) -> str:
+    """The numpy type in which ids are kept between the steps."""
+    return "<u2" if id_count <= 1 << 16 else "<u4"
 
 
 @lru_cache(2)
@@ -147,24 +159,25 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 
 
 def encode(docs: DataFrame, vocabulary: str, ranks: str, end_id: int = 0, id_count: int = 50_257) -> DataFrame:
-    """``doc_id``, ``ids`` (little-endian unsigned 32-bit, the end id last) and ``curve`` of each text."""
+    """``doc_id``, ``curve`` and ``ids`` of each text: bytes of the narrow type, the end id last."""
+    kind = narrow(id_count)
 
     def rows(batches):
-        make = encoder(vocabulary, ranks).encode
-        end = np.array([end_id], "<u4").tobytes()
+        make = encoder(vocabulary, ranks, kind).encode
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
             made = [make(x) + end for x in batch.column("text").to_pylist()]
             if not made:
                 continue
-            sizes = np.array([len(x) // 4 for x in made])
-            keys = curve_keys(np.frombuffer(b"".join(made), "<u4"), np.cumsum(sizes) - sizes, id_count)
+            sizes = np.array([len(x) // len(end) for x in made])
+            keys = curve_keys(np.frombuffer(b"".join(made), kind), np.cumsum(sizes) - sizes, id_count)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(made, pa.binary())], ["doc_id", "curve", "ids"])
 
     return map_arrow(docs.select("doc_id", "text"), rows, "doc_id long, curve long, ids binary")
 
 
-def pack(docs: DataFrame, length: int = 1024, vocabulary: str | None = None, ranks: str | None = None, end_id: int = 0) -> DataFrame:
-    """The pieces of all documents and their places in sequences, with their ids.
+def pack(docs: DataFrame, length: int = 1024, vocabulary: str | None = None, ranks: str | None = None, end_id: int = 0, id_count: int = 50_257) -> DataFrame:
+    """The pieces of all documents and their places in sequences, with their ids (unsigned 32-bit).
 
     ``start`` is the number of the document's ids before the piece, ``doc_tokens``
     all its ids, ``offset`` the piece's place in ``sequence_id``. Packed sequences
@@ -172,21 +185,23 @@ def pack(docs: DataFrame, length: int = 1024, vocabulary: str | None = None, ran
     """
     vocabulary = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    made = save(encode(docs, vocabulary, ranks, end_id))
+    kind = narrow(id_count)
+    width = np.dtype(kind).itemsize
+    made = save(encode(docs, vocabulary, ranks, end_id, id_count))
     order = ["curve", "doc_id", F.crc32("ids")]
     laid = made.repartitionByRange("curve", "doc_id").sortWithinPartitions(*order)
 
     def rows(batches):
         sequence = TaskContext.get().partitionId() << 32
         # What doesn't fill a sequence yet: its ids, and each document's id, tokens and ids before it.
-        held, held_rows = np.empty(0, "<u4"), []
+        held, held_rows = np.empty(0, kind), []
 
         def emit(ids, starts, documents, cuts):
             nonlocal sequence
             begins, ends, which = pieces_of(ids, starts, cuts)
             at = np.searchsorted(cuts, begins, "right") - 1
             doc_id, tokens, before = (np.array(c) for c in zip(*documents, strict=True))
-            raw = memoryview(ids.tobytes())
+            raw = memoryview(ids.astype("<u4").tobytes())
             numbers = [[documents[i][0] for i in which], before[which].astype(np.int64) + begins - starts[which], ends - begins, tokens[which].astype(np.int64), sequence + at, begins - cuts[at]]
             arrays = [pa.array(x, pa.int64()) for x in numbers]
             arrays.append(pa.array([raw[4 * a : 4 * b].tobytes() for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary()))
@@ -197,9 +212,9 @@ def pack(docs: DataFrame, length: int = 1024, vocabulary: str | None = None, ran
             blobs = batch.column("ids").to_pylist()
             if not blobs:
                 continue
-            sizes = [len(x) // 4 for x in blobs]
+            sizes = [len(x) // width for x in blobs]
             documents = held_rows + [(d, n, 0) for d, n in zip(batch.column("doc_id").to_pylist(), sizes, strict=True)]
-            ids = np.concatenate([held, np.frombuffer(b"".join(blobs), "<u4")])
+            ids = np.concatenate([held, np.frombuffer(b"".join(blobs), kind)])
             spans = np.array([n - b for _, n, b in held_rows] + sizes)
             starts = np.cumsum(spans) - spans
             full = len(ids) // length * length
