@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.llm import language_id, media, mixing, packing, secret_scan, sharding
+from quillon.llm import embedding_dedup, language_id, media, mixing, packing, secret_scan, sharding
 from quillon.session import table
 
 
@@ -50,10 +50,15 @@ def op6_language_id(spark, sf_dir):
     return named.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_embedding_dedup(spark, sf_dir):
+    """Links of at least 0.98 between vectors of one label, and their components."""
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op8_media_columns(spark, sf_dir):
     """Each text as an ISO media file, read back by its boxes."""
     return media.describe(media.store(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_along_curve, op2_secret_scan, op3_mix_sources, op5_shard_documents, op6_language_id, op8_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_pack_along_curve, op2_secret_scan, op3_mix_sources, op5_shard_documents, op6_language_id, op7_embedding_dedup, op8_media_columns)}
 ORACLES: dict[str, str] = {}
