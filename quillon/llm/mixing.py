@@ -109,6 +109,7 @@ def mix_sized(docs: DataFrame, weights=WEIGHTS, share=1.5, epochs=2.0, seed=17,
 
 def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as ``mixed`` (unique ids) says."""
-    counts = mixed.select(F.col("doc_id").alias("mixed_id"), "repeats")
-    joined = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("mixed_id"))).filter("repeats > 0")
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("copy")).drop("copy")
+    names = docs.columns
+    counts = mixed.filter("repeats > 0").select(F.col("doc_id").alias("mixed_id"), F.sequence(F.lit(1), F.col("repeats").cast("int")).alias("copies"))
+    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts["mixed_id"]))
+    return joined.select(*(docs[c] for c in names), F.explode(counts["copies"])).toDF(*names, "copy").select(*names)
