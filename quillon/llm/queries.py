@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.llm import embedding_dedup, language_id, media, minhash_dedup, mixing, packing, secret_scan, sharding
+from quillon.llm import embedding_dedup, language_id, media, minhash_dedup, mixing, packing, pii, secret_scan, sharding
 from quillon.session import table
 
 
@@ -38,6 +38,11 @@ def op3_mix_sources(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "repeats")
 
 
+def op4_private_spans(spark, sf_dir):
+    """Personal data in every whole text."""
+    return pii.find(table(spark, sf_dir, "documents")).select("doc_id", *span_digest(F.col("found"), pii.KINDS))
+
+
 def op5_shard_documents(spark, sf_dir):
     """Sixteen contiguous shards of nearly equal bytes."""
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
@@ -65,5 +70,5 @@ def op10_minhash_dedup(spark, sf_dir):
     return minhash_dedup.link(table(spark, sf_dir, "documents"), 85, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_along_curve, op2_secret_scan, op3_mix_sources, op5_shard_documents, op6_language_id, op7_embedding_dedup, op8_media_columns, op10_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pack_along_curve, op2_secret_scan, op3_mix_sources, op4_private_spans, op5_shard_documents, op6_language_id, op7_embedding_dedup, op8_media_columns, op10_minhash_dedup)}
 ORACLES: dict[str, str] = {}
