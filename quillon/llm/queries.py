@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillon.llm import embedding_dedup, language_id, media, minhash_dedup, mixing, packing, pii, secret_scan, sharding
+from quillon.llm import embedding_dedup, language_id, masked_lm, media, minhash_dedup, mixing, packing, pii, secret_scan, sharding
 from quillon.session import table
 
 
@@ -65,10 +65,16 @@ def op8_media_columns(spark, sf_dir):
     return media.describe(media.store(table(spark, sf_dir, "documents")))
 
 
+def op9_masked_scores(spark, sf_dir):
+    """Pseudo-log-likelihood of every whole text under a network trained on the corpus."""
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, *masked_lm.fit(docs))
+
+
 def op10_minhash_dedup(spark, sf_dir):
     """Documents that share 85 of 100 word shingles, directly or through others."""
     return minhash_dedup.link(table(spark, sf_dir, "documents"), 85, 5)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack_along_curve, op2_secret_scan, op3_mix_sources, op4_private_spans, op5_shard_documents, op6_language_id, op7_embedding_dedup, op8_media_columns, op10_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pack_along_curve, op2_secret_scan, op3_mix_sources, op4_private_spans, op5_shard_documents, op6_language_id, op7_embedding_dedup, op8_media_columns, op9_masked_scores, op10_minhash_dedup)}
 ORACLES: dict[str, str] = {}
