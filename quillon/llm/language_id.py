@@ -32,6 +32,8 @@ from quillon.llm.common import map_arrow
 
 UNDETERMINED = "und"
 WINDOW, HIDDEN, BATCH = 64, 10, 4096
+#: One output for each language; more labels than this are an error.
+MOST_LANGUAGES = 512
 
 
 @dataclass
@@ -205,12 +207,16 @@ def held_out(key="doc_id"):
 def learn(docs: DataFrame, documents_per_language: int = 400, windows_per_document: int = 8, window: int = WINDOW, **fit) -> Network:
     """Train on a bounded sample of the labelled rows that are not held out."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
-    labelled = docs.select("doc_id", "lang").filter(F.col("lang").isNotNull() & ~held_out())
-    # A first cut by hash leaves about twice the rows that are needed, so that little text moves.
-    share = labelled.groupBy("lang").agg((F.lit(4.0 * documents_per_language) / F.count("*")).alias("share")).withColumnRenamed("lang", "share_lang")
+    labelled = docs.filter(F.col("lang").isNotNull() & ~held_out())
+    counted = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counted) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counted:
+        return train([], [], **fit)
+    # A first cut by hash, before any exchange, leaves about four times the rows that are needed.
     draw = F.conv(F.substring(F.md5(F.concat(key, F.lit(":language"))), 1, 8), 16, 10).cast("long")
-    rows = rows.withColumn("draw", draw).join(share, F.col("lang") == F.col("share_lang")).filter(F.col("draw") < F.col("share") * F.lit(float(1 << 32)))
+    below = F.create_map(*(F.lit(x) for lang, n in sorted(counted.items()) for x in (lang, min(1 << 32, (4 * documents_per_language << 32) // n))))
+    rows = labelled.select("doc_id", "lang", "text", draw.alias("draw")).filter((F.col("draw") < below[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
     first = W.Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
     chosen = rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= documents_per_language).select("lang", "text")
 
