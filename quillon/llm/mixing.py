@@ -108,8 +108,12 @@ def mix_sized(docs: DataFrame, weights=WEIGHTS, share=1.5, epochs=2.0, seed=17,
 
 
 def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as ``mixed`` (unique ids) says."""
-    names = docs.columns
-    counts = mixed.filter("repeats > 0").select(F.col("doc_id").alias("mixed_id"), F.sequence(F.lit(1), F.col("repeats").cast("int")).alias("copies"))
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts["mixed_id"]))
-    return joined.select(*(docs[c] for c in names), F.explode(counts["copies"])).toDF(*names, "copy").select(*names)
+    """The mixed corpus: each row of ``docs``, all columns kept, as often as ``mixed`` says.
+
+    Ids are taken to be unique in a source; rows that share both are all repeated
+    as often as the one of them that is repeated most.
+    """
+    counts = mixed.groupBy("doc_id", "source").agg(F.max("repeats").alias("repeats")).filter("repeats > 0")
+    counts = counts.select(F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source"), F.sequence(F.lit(1), F.col("repeats").cast("int")).alias("copies"))
+    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts["mixed_id"]) & docs["source"].eqNullSafe(counts["mixed_source"]))
+    return joined.select(*(docs[c] for c in docs.columns), F.explode(counts["copies"]).alias("number of the copy")).drop("number of the copy")
