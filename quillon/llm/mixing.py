@@ -30,6 +30,8 @@ from pyspark.sql import window as W
 from quillon.llm.common import WORD, save
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: How often the last bin is gone through for documents that still fit.
+PASSES = 3
 
 
 def seeded_hash(key, seed: int):
@@ -97,10 +99,13 @@ def mix_sized(docs: DataFrame, weights=WEIGHTS, share=1.5, epochs=2.0, seed=17,
     columns = ["doc_id", "source", "size", "source_size", "target"]
     whole = placed.filter("state < 2").select(*columns, (F.col("whole") + F.col("state")).alias("repeats"))
     bin_of = W.Window.partitionBy("source", "bin")
-    drawn = bin_of.orderBy("draw", "doc_id", "size")
-    ends = placed.filter("state = 2").withColumn("words_up_to", F.col("bin_before") + F.sum("size").over(drawn.rowsBetween(W.Window.unboundedPreceding, 0)))
-    ends = ends.withColumn("fits", F.col("words_up_to") <= F.col("rest"))
-    ends = ends.withColumn("short", F.col("rest") - F.greatest(F.col("bin_before"), F.coalesce(F.max(F.when(F.col("fits"), F.col("words_up_to"))).over(bin_of), F.lit(0))))
+    drawn = bin_of.orderBy("draw", "doc_id", "size").rowsBetween(W.Window.unboundedPreceding, 0)
+    ends = placed.filter("state = 2").withColumns({"fits": F.lit(False), "short": F.col("rest") - F.col("bin_before")})
+    for _ in range(PASSES):  # a document too long for what is missing doesn't keep the shorter ones after it out
+        small = ~F.col("fits") & (F.col("size") <= F.col("short"))
+        ends = ends.withColumn("words_up_to", F.when(small, F.sum(F.when(small, F.col("size"))).over(drawn)))
+        ends = ends.withColumn("fits", F.col("fits") | F.coalesce(F.col("words_up_to") <= F.col("short"), F.lit(False)))
+        ends = ends.withColumn("short", F.col("short") - F.coalesce(F.max(F.when(F.col("words_up_to") <= F.col("short"), F.col("words_up_to"))).over(bin_of), F.lit(0)))
     nearest = bin_of.orderBy("fits", F.abs(F.col("size") - F.col("short")), "draw", "doc_id", "size")
     topped = ~F.col("fits") & (F.row_number().over(nearest) == 1) & (F.abs(F.col("size") - F.col("short")) < F.col("short"))
     edge = ends.select(*columns, (F.col("whole") + (F.col("fits") | topped).cast("long")).alias("repeats"))
