@@ -19,8 +19,7 @@ SEPARATOR = "\u001f"
 
 #: Type names that mean the same.
 ALIASES = {"int": "integer", "int4": "integer", "int2": "smallint", "int8": "bigint", "decimal": "numeric", "float4": "real", "float8": "double precision", "float": "double precision", "bool": "boolean", "varchar": "character varying", "char": "character", "bpchar": "character", "timestamptz": "timestamp with time zone", "timestamp without time zone": "timestamp", "timetz": "time with time zone", "varbit": "bit varying", "serial": "integer", "serial4": "integer", "bigserial": "bigint", "serial8": "bigint", "smallserial": "smallint"}
-WIDTHS = {"smallint": 1, "integer": 2, "bigint": 3, "numeric": 4, "real": 5, "double precision": 6}
-FAMILIES = {"smallint": "number", "integer": "number", "bigint": "number", "numeric": "number", "real": "number", "double precision": "number", "character varying": "text", "character": "text", "text": "text", "date": "time", "timestamp": "time", "timestamp with time zone": "time", "boolean": "boolean", "json": "json", "jsonb": "json", "uuid": "uuid", "bytea": "bytes"}
+INTEGERS = {"smallint": 1, "integer": 2, "bigint": 3}
 
 
 def _lookup(table: dict) -> Column:
@@ -57,8 +56,11 @@ def canonical(text) -> Column:
         return F.regexp_replace(F.regexp_replace(p, r"\s+", " "), r" ?([(),=<>+*/-]) ?", "$1")
 
     joined = F.trim(F.array_join(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit("'")) | F.startswith(p, F.lit('"')), p).otherwise(plain(p))), ""))
-    peel = lambda e: F.when(e.rlike(r"^\([^()]*\)$"), F.substring(e, F.lit(2), F.length(e) - 2)).otherwise(e)
-    return F.trim(F.regexp_replace(peel(peel(joined)), ";+$", ""))
+    inside = "[^()]*+"
+    for _ in range(4):  # balanced brackets, to this depth
+        inside = rf"(?:[^()]|\({inside}\))*+"
+    peel = lambda e: F.regexp_replace(e, rf"^\(({inside})\)$", "$1")
+    return F.trim(peel(peel(peel(F.regexp_replace(joined, ";+$", "")))))
 
 
 def content_hash(*fields) -> Column:
@@ -132,27 +134,38 @@ def renames(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def risk(changes: DataFrame) -> DataFrame:
-    """Changes (change, old_type, new_type, nullable, has_default) with ``risk`` and ``rewrites``."""
+    """Changes (change, old_type, new_type, nullable, has_default) with ``risk`` and ``rewrites``.
+
+    Integers that widen are a warning and those that narrow lose data, as does a
+    shorter length of the same type; other changes of the type, and any of an array's, are dangerous. A
+    change of length alone doesn't rewrite the table.
+    """
     old, new = type_base(F.col("old_type")), type_base(F.col("new_type"))
-    widths, families = _lookup(WIDTHS), _lookup(FAMILIES)
-    a, b = F.try_element_at(widths, old), F.try_element_at(widths, new)
-    fa, fb = F.coalesce(F.try_element_at(families, old), old), F.coalesce(F.try_element_at(families, new), new)
-    la, lb = type_length(F.col("old_type")), type_length(F.col("new_type"))
+    ranks = _lookup(INTEGERS)
+    a, b = F.try_element_at(ranks, old), F.try_element_at(ranks, new)
+    length = lambda c: F.coalesce(type_length(F.col(c)), F.lit(1 << 30))
+    shorter = length("new_type") - length("old_type")
+    is_ = lambda *names: F.col("change").isin(*names)
     same = type_name(F.col("old_type")) == type_name(F.col("new_type"))
+    typed = (
+        F.when(same, "Safe")
+        .when(F.concat_ws(" ", "old_type", "new_type").contains("[]"), "Dangerous")
+        .when(a > b, "DataLoss")
+        .when(a < b, "Warning")
+        .when((old == new) & (shorter < 0), "DataLoss")
+        .when((old == new) & (shorter > 0), "Warning")
+        .when(old == new, "Safe")
+        .otherwise("Dangerous")
+    )
     kind = (
-        F.when(F.col("change").isin("drop_table", "drop_column"), "DataLoss")
-        .when((F.col("change") == "add_column") & ~F.col("nullable") & ~F.col("has_default"), "Dangerous")
-        .when(F.col("change") == "add_column", "Safe")
-        .when((F.col("change") == "alter_type") & same, "Safe")
-        .when((F.col("change") == "alter_type") & (fa != fb), "Dangerous")
-        .when((F.col("change") == "alter_type") & (old == new) & (F.coalesce(lb, F.lit(1 << 30)) < F.coalesce(la, F.lit(1 << 30))), "DataLoss")
-        .when((F.col("change") == "alter_type") & (a > b), "DataLoss")
-        .when(F.col("change") == "alter_type", "Warning")
-        .when(F.col("change") == "set_not_null", "Dangerous")
-        .when(F.col("change").isin("create_table", "create_index", "create_view", "drop_not_null", "set_default"), "Safe")
+        F.when(is_("drop_table", "drop_column", "drop_sequence"), "DataLoss")
+        .when(is_("add_column"), F.when(F.col("nullable"), "Safe").when(F.col("has_default"), "Warning").otherwise("Dangerous"))
+        .when(is_("alter_type"), typed)
+        .when(is_("set_not_null", "create_index", "add_foreign_key", "add_primary_key", "add_unique", "add_check"), "Warning")
+        .when(is_("create_schema", "create_table", "create_view", "drop_not_null", "set_default"), "Safe")
         .otherwise("Unknown")
     )
-    return changes.withColumns({"risk": kind, "rewrites": (F.col("change") == "alter_type") & ~same & F.coalesce(a != b, F.lit(True))})
+    return changes.withColumns({"risk": kind, "rewrites": is_("alter_type") & ~same & (old != new)})
 
 
 def gate(changes: DataFrame, allow_data_loss: bool = False, include: Sequence[str] = (), exclude: Sequence[str] = ()) -> DataFrame:

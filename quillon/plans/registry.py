@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import relational
+from quillon.plans import changes, combining, filters, grouping, joining, metadata, ordering, relational, scalars, scans, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (relational,):
+for module in (relational, scans, filters, joining, grouping, ordering, combining, scalars, changes, metadata, streams):
+    if again := QUERIES.keys() & module.QUERIES.keys():
+        raise ValueError(f"queries registered twice: {sorted(again)}")
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
