@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,9 @@ from pyspark.sql import types as T
 #: A word: a run of bytes other than space and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch: what a worker holds at once follows from it, whatever the length of rows.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _own: list[str] = []
 
 
@@ -52,8 +56,31 @@ def pin(df: DataFrame) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, rows, schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` for a generator of record batches over an iterator of them."""
-    return df.mapInArrow(rows, schema)
+    """``mapInArrow`` for a generator of record batches over an iterator of them.
+
+    Unless the session sets another size, its batches are cut to ``BATCH_BYTES``.
+    Workers live on between stages, so each task gives back what it no longer uses.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return the free memory of Arrow's and the C library's allocators to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def words(text: str | None) -> list[bytes]:

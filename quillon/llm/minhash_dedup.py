@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import map_arrow, save
 from quillon.llm.components import components, forest
-from quillon.llm.shingles import distinct, sequence_hashes, shingle_hashes, word_hashes
+from quillon.llm.shingles import distinct, mix, sequence_hashes, shingle_hashes, word_hashes
 
 #: With similarity 0.85, fewer than 38 of 64 coordinates agree in one pair of about seven million.
 COORDINATES, MATCHES = 64, 38
@@ -249,16 +249,19 @@ def link(docs: DataFrame, percent: int = 85, size: int = 5, least: int = MATCHES
 
     def post(batches):
         for batch in batches:
-            out = {"token": [], "n": [], "node": [], "sketch": []}
-            for node, pairs in zip(batch.column("node").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
-                pairs = [(p["n"], p["token"]) for p in pairs]
-                values = np.array([t for _, t in pairs], np.int64)
-                sketch = np.random.default_rng(node).integers(0, 256, COORDINATES).astype(np.uint8)
-                sketch[values >> 32] = values & 255
-                for n, token in pairs[: prefix - (COORDINATES - len(pairs))]:
-                    for name, x in (("token", token), ("n", n), ("node", node), ("sketch", sketch.tobytes())):
-                        out[name].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], pa.binary() if k == "sketch" else pa.int64()) for k in out], list(out))
+            lists, node = batch.column("pairs"), batch.column("node").to_numpy()
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            pairs = lists.flatten()
+            n, token = pairs.field("n").to_numpy(zero_copy_only=False), pairs.field("token").to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(node)), sizes)
+            # A coordinate that nobody shares gets a value of its node's own.
+            own = mix(node.astype(np.uint64)[:, None] * np.uint64(COORDINATES) + np.arange(COORDINATES, dtype=np.uint64))
+            sketch = (own & np.uint64(255)).astype(np.uint8)
+            sketch[owner, token >> 32] = (token & 255).astype(np.uint8)
+            inside = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = inside < (prefix - COORDINATES + sizes)[owner]
+            sketches = pa.array([x.tobytes() for x in sketch], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep], pa.int64()), pa.array(n[keep], pa.int64()), pa.array(node[owner[keep]], pa.int64()), sketches.take(pa.array(owner[keep]))], ["token", "n", "node", "sketch"])
 
     postings = map_arrow(held, post, "token long, n long, node long, sketch binary")
     tiles = F.ceil(F.col("n") / F.lit(longest)).cast("int")

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += np.uint64(32)
 _LOWER += np.uint64(1)
@@ -29,9 +29,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    n = 1 << bits
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base and of its inverse; only those of a usual run are remembered."""
+    return _usual() if n <= 2 * STEP_BYTES else _made(n)
+
+
+@lru_cache(1)
+def _usual() -> tuple[np.ndarray, np.ndarray]:
+    return _made(2 * STEP_BYTES)
+
+
+def _made(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(int(BASE), -1, 1 << 64)
     out = []
     for base in (BASE, np.uint64(inverse)):
@@ -47,7 +55,7 @@ def _some(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[data]
     edge = np.diff(space.view(np.int8), prepend=1)
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    power, inverse = _powers(max(21, int(len(data)).bit_length()))
+    power, inverse = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_LOWER[data] * power[: len(data)], out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * inverse[starts]
@@ -59,10 +67,18 @@ def _some(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(raw: list[bytes], step: int = STEP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of texts as (index of the first, all word hashes end to end, words in each text).
 
-    A run holds about ``step`` bytes, or one text however long it is.
+    A run holds about ``step`` bytes, or one text; a longer text is hashed in
+    pieces that end where a word does.
     """
     at = size = 0
     for i, x in enumerate(raw):
+        if len(x) > step:
+            if at < i:
+                yield at, *_some(raw[at:i])
+            parts = [_some([piece]) for piece in _pieces(x, step)]
+            yield i, np.concatenate([h for h, _ in parts]), np.array([sum(int(n[0]) for _, n in parts)])
+            at, size = i + 1, 0
+            continue
         if size and size + len(x) > step:
             yield at, *_some(raw[at:i])
             at, size = i, 0
@@ -71,6 +87,17 @@ def word_hashes(raw: list[bytes], step: int = STEP_BYTES) -> Iterator[tuple[int,
         yield at, *_some(raw[at:])
 
 
+def _pieces(x: bytes, step: int) -> Iterator[bytes]:
+    """A text in pieces of at least ``step`` bytes, each but the last up to the next space."""
+    at = 0
+    while at < len(x):
+        end = at + step
+        while end < len(x) and not _SPACE[x[end]]:
+            end += 1
+        yield x[at:end]
+        at = end
+
+
 def shingle_hashes(hashes: np.ndarray, counts: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of each text, end to end with repeats, and how many each has.
 
@@ -107,7 +134,7 @@ def sequence_hashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     n = len(hashes)
     ends = np.cumsum(counts)
     starts = ends - counts
-    power, inverse = _powers(max(21, (n + 1).bit_length()))
+    power, inverse = _powers(n + 1)
     out = np.zeros((len(counts), 2), np.uint64)
     for k in range(2):
         sums = np.zeros(n + 1, np.uint64)
