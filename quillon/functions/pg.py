@@ -7,6 +7,7 @@ so on) are used directly and are not repeated here; ``SAME`` lists them.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -268,7 +269,6 @@ def starts_with(s, prefix) -> Column:
 
 def normalize(s, form: str = "NFC"):
     """Unicode normal form, by an Arrow batch function (no built-in has it)."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 
 def _marked(df: DataFrame, time: str, watermark: str | None) -> DataFrame:
-    return df.withWatermark(time, watermark) if watermark and df.isStreaming else df
+    """The watermark of a stream; times without zone become those of the session's, as it asks for."""
+    if not watermark or not df.isStreaming:
+        return df
+    if dict(df.dtypes)[time] == "timestamp_ntz":
+        df = df.withColumn(time, F.col(time).cast("timestamp"))
+    return df.withWatermark(time, watermark)
 
 
 def tumbling(df: DataFrame, time: str, size: str, keys: list[str], watermark: str | None = None) -> DataFrame:
