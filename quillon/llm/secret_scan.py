@@ -2,7 +2,9 @@
 
 Method: base patterns (an assignment to a telling name, an access key id, a long
 hex run) report by shape alone. Beyond them, every base64 or hex run is only a
-candidate: it is decoded and has to parse before it is reported. A key must be
+candidate: it is decoded and has to parse before it is reported. A run ends at its
+padding, so that a name and '=' before it aren't part of it; one that doesn't parse
+is cut at '-' and '_', which may join a name to it, and its pieces are tried. A key must be
 DER whose nested lengths fill their parents exactly and whose fields are those
 of a private key (PKCS#1, PKCS#8 plain or encrypted, SEC 1), or the length-
 prefixed fields of an OpenSSH private key. A signed token must have a JSON
@@ -33,7 +35,8 @@ DEPTH = 2
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{40,}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+PIECE = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
 SIGNATURE_BYTES = {"HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES384": (96, 96), "ES512": (132, 132), "EdDSA": (64, 114)} | {f"{p}{n}": (128, 1024) for p in ("RS", "PS") for n in (256, 384, 512)}
@@ -145,6 +148,15 @@ def confirm(data: bytes, depth: int = DEPTH) -> str | None:
     return None
 
 
+def coded(run: str, depth: int) -> str | None:
+    """What a run of hex or base64 proves to be, or None."""
+    digits = run.rstrip("=")
+    if not len(digits) % 2 and re.fullmatch(r"[0-9a-fA-F]+", digits) and (what := confirm(bytes.fromhex(digits), depth)):
+        return what
+    data = decode64(run)
+    return confirm(data, depth) if data else None
+
+
 def encoded_spans(text: str, depth: int = DEPTH) -> list[tuple[str, int, int, str]]:
     """Spans of encoded secrets that their structure confirms, by kind and start."""
     found = []
@@ -154,13 +166,10 @@ def encoded_spans(text: str, depth: int = DEPTH) -> list[tuple[str, int, int, st
             if data and (what := confirm(data, 0)):
                 found.append(("pem", m.start(), m.end(), what))
     for m in RUN.finditer(text):
-        run = m[0]
-        whole = None
-        if not len(run) % 2 and re.fullmatch(r"[0-9a-fA-F]+", run):
-            whole = confirm(bytes.fromhex(run), depth)
-        data = decode64(run)
-        if whole := whole or (data and confirm(data, depth)) or None:
-            found.append(("key", m.start(), m.end(), whole))
+        if what := coded(m[0], depth):
+            found.append(("key", m.start(), m.end(), what))
+        elif "-" in m[0] or "_" in m[0]:
+            found += [("key", p.start(), p.end(), what) for p in PIECE.finditer(text, m.start(), m.end()) if (what := coded(p[0], depth))]
     if "ey" in text and "." in text:
         for m in TOKEN.finditer(text):
             if what := signed_token(*m.groups()):

@@ -41,6 +41,17 @@ def test_keys_are_confirmed_in_any_coding(data, what):
     assert ("pem", pem, what) in kinds(pem)
 
 
+@pytest.mark.parametrize("data,what", [(PKCS8, "pkcs8"), (PKCS1, "pkcs1"), (SSH, "openssh")])
+def test_keys_are_found_after_a_name(data, what):
+    for run in (b64(data), b64(data).rstrip("="), data.hex(), data.hex().upper()):
+        for before in ("private_key=", "KEY=", "a=1&k=", "KEY==", "long_name_" * 6 + "=", "KEY-", "key_"):
+            assert ("key", run, what) in kinds(f"export {before}{run}\n"), before
+    url = b64(data, True).rstrip("=")
+    assert ("key", url, what) in kinds(f"private_key={url}&b=2")
+    nested = b64(f"private_key={b64(data)}".encode())
+    assert ("key", nested, f"key:{what}") in kinds(f"blob={nested}")
+
+
 def test_broken_lengths_are_not_reported():
     for bad in (PKCS8[:-1], PKCS8 + b"\0", PKCS8[:1] + bytes([PKCS8[1] + 1]) + PKCS8[2:], bytes(range(64)), SSH[:-3]):
         assert not [k for k in S.find(b64(bad)) if k[0] == "key"]
