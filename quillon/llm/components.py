@@ -4,8 +4,8 @@ Method: large-star and small-star contraction. In a large-star step every node
 links its larger neighbours to the smallest of its neighbourhood, in a small-star
 step its smaller neighbours and itself; edges end as stars around each
 component's smallest node. Before each round a task contracts what it holds by
-union-find, which changes no component. Each round is written to the shared
-folder, so a lost executor costs no more than one round.
+union-find, which changes no component. Both steps of a round are written to the
+shared folder, so a lost executor costs no more than one step.
 
 Cases. Self-links and repeated links do nothing. An empty input gives no rows.
 Nodes are longs; null ends are not allowed (callers drop them).
@@ -80,8 +80,9 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("n"), F.least("a", "low").alias("low"))
         large = both.join(least, F.col("a") == F.col("n")).filter("b > a and b <> low").select(F.col("low").alias("a"), "b")
-        # Small star: every node's smaller neighbours and itself, to the smallest of them.
-        large = contract(large.distinct())
+        # Small star: every node's smaller neighbours and itself, to the smallest of them. It is saved,
+        # as what a task contracts to depends on the order in which its rows arrive.
+        large = save(contract(large.distinct()))
         least = large.groupBy("b").agg(F.min("a").alias("low")).withColumnRenamed("b", "n")
         small = large.join(least, F.col("b") == F.col("n"))
         small = small.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("a").alias("b")), F.struct(F.col("low").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
