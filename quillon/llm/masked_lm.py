@@ -2,10 +2,13 @@
 
 Method: a small network sees a window on both sides of a position, not the word
 there, and predicts that word. A document's score is the sum of the log
-probabilities of all its words, each given its neighbours.
+probabilities of all its words, each given its neighbours. A word's probability
+is that of its number times the share of its bucket in that number.
 
 Words are counted over all documents (in ``BUCKETS`` hash buckets). The commonest
-get a number of their own, the others share ``RARE`` numbers by their hash. The
+get a number of their own, the others share ``RARE`` numbers by their hash; a
+bucket's share of its number is its count, smoothed by a half, over the number's.
+A bucket that never occurs has the half alone. Words of one bucket aren't told apart. The
 output is a softmax over classes of numbers and one inside the class; its biases
 start at the counted frequencies. Every partition of the corpus trains a copy of
 the weights by Adagrad on its own documents, each document giving every
@@ -127,7 +130,7 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 def numbers(hashes: np.ndarray, lookup: np.ndarray) -> np.ndarray:
-    """The number of each word: its bucket's own, or one of the shared ones."""
+    """The number of each word, its bucket's own or one of the shared ones; or what else ``lookup`` has for buckets."""
     return lookup[(hashes >> np.uint64(64 - 18)).astype(np.int64)]
 
 
@@ -158,16 +161,27 @@ def count_buckets(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text"), rows, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each bucket, and how often each number occurs in the corpus."""
+def counted_vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of each bucket, how often each number occurs in the corpus, and how often each bucket does."""
     counted = count_buckets(docs).orderBy(F.col("n").desc(), "bucket").collect()  # BUCKETS rows at most
     lookup = VOCABULARY - RARE + np.arange(BUCKETS) % RARE
-    counts = np.zeros(VOCABULARY)
+    held = np.zeros(BUCKETS)
     for i, r in enumerate(counted):
         if i < VOCABULARY - RARE:
             lookup[r.bucket] = i
-        counts[lookup[r.bucket]] += r.n
-    return lookup, counts
+        held[r.bucket] = r.n
+    return lookup, np.bincount(lookup, held, VOCABULARY), held
+
+
+def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each bucket, and how often each number occurs in the corpus."""
+    return counted_vocabulary(docs)[:2]
+
+
+def log_shares(lookup: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The log of each bucket's smoothed share of its number; a number's shares sum to one."""
+    held = held + 0.5
+    return np.log(held / np.bincount(lookup, held, VOCABULARY)[lookup])
 
 
 def _average(copies: DataFrame) -> np.ndarray | None:
@@ -190,9 +204,9 @@ def _average(copies: DataFrame) -> np.ndarray | None:
     return np.frombuffer(found[0].vector, np.float32) if found else None
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = 0.15, seed: int = 13) -> tuple[np.ndarray, Network]:
-    """The vocabulary's lookup and a network that was trained on the whole corpus."""
-    lookup, counts = vocabulary(docs)
+def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = 0.15, seed: int = 13, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, Network]:
+    """The vocabulary's lookup and a network that was trained on the whole corpus; ``known`` is its vocabulary if counted before."""
+    lookup, counts = known or vocabulary(docs)
     network = Network.fresh(counts, seed)
     for turn in range(rounds):
         start = network.flat()
@@ -239,8 +253,11 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float
     return lookup, network
 
 
-def score(docs: DataFrame, lookup: np.ndarray, network: Network) -> DataFrame:
-    """``doc_id``, ``n_words``, ``log_likelihood`` (summed) and ``mean`` (for each word)."""
+def score(docs: DataFrame, lookup: np.ndarray, network: Network, shares: np.ndarray | None = None) -> DataFrame:
+    """``doc_id``, ``n_words``, ``log_likelihood`` (summed) and ``mean`` (for each word).
+
+    With the ``log_shares`` of buckets these are of words, without them of the words' numbers.
+    """
     weights = network.flat()
 
     def rows(batches):
@@ -253,8 +270,16 @@ def score(docs: DataFrame, lookup: np.ndarray, network: Network) -> DataFrame:
                 logs = np.zeros(len(words))
                 for i in range(0, len(words), 1 << 15):
                     logs[i : i + (1 << 15)] = own.log_probabilities(words[i : i + (1 << 15)], around[i : i + (1 << 15)])
+                if shares is not None:
+                    logs += numbers(hashes, shares)
                 sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes))
                 mean = pa.array(np.divide(sums, sizes, out=np.zeros(len(sizes)), where=sizes > 0), pa.float64(), mask=sizes == 0)
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), mean], ["doc_id", "n_words", "log_likelihood", "mean"])
 
     return map_arrow(docs.select("doc_id", "text"), rows, "doc_id long, n_words long, log_likelihood double, mean double")
+
+
+def score_words(docs: DataFrame) -> DataFrame:
+    """``score`` of every word of the documents, under a network trained on them."""
+    lookup, counts, held = counted_vocabulary(docs)
+    return score(docs, *fit(docs, known=(lookup, counts)), log_shares(lookup, held))

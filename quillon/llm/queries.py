@@ -67,8 +67,7 @@ def op8_media_columns(spark, sf_dir):
 
 def op9_masked_scores(spark, sf_dir):
     """Pseudo-log-likelihood of every whole text under a network trained on the corpus."""
-    docs = table(spark, sf_dir, "documents")
-    return masked_lm.score(docs, *masked_lm.fit(docs))
+    return masked_lm.score_words(table(spark, sf_dir, "documents"))
 
 
 def op10_minhash_dedup(spark, sf_dir):

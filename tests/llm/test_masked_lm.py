@@ -77,3 +77,34 @@ def test_edge_rows(spark):
     assert got[4].log_likelihood == got[6].log_likelihood == got[None].log_likelihood < 0
     empty = docs.limit(0)
     assert L.score(empty, *L.fit(empty, rounds=1)).count() == 0
+
+
+def test_words_of_one_number_have_their_own_probabilities(spark):
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{i}" for i in rng.permutation(np.repeat(np.arange(3000), np.where(np.arange(3000) < 1000, 8, 2))))
+    docs = spark.createDataFrame([(1, text), (2, "w2000"), (3, "zzqx")], "doc_id long, text string")
+    lookup, counts, held = L.counted_vocabulary(docs)
+    shares = L.log_shares(lookup, held)
+    assert np.allclose(np.bincount(lookup, np.exp(shares), L.VOCABULARY)[np.unique(lookup)], 1)
+    own = np.flatnonzero(lookup < L.VOCABULARY - L.RARE)
+    assert np.allclose(shares[own], 0)
+    hashes = np.concatenate([next(word_hashes([x.encode()]))[1] for x in ("w2000", "never1")])
+    net = L.Network.fresh(counts)
+    rows = spark.createDataFrame([(1, "w2000"), (2, "never1")], "doc_id long, text string")
+    plain = {r.doc_id: r.log_likelihood for r in L.score(rows, lookup, net).collect()}
+    got = {r.doc_id: r.log_likelihood for r in L.score(rows, lookup, net, shares).collect()}
+    for k, h in ((1, hashes[:1]), (2, hashes[1:])):
+        bucket = int(h[0] >> np.uint64(46))
+        same = lookup == lookup[bucket]
+        assert got[k] - plain[k] == pytest.approx(np.log((held[bucket] + 0.5) / (held[same].sum() + same.sum() / 2)))
+    assert got[2] < got[1]
+
+
+def test_query_scores_words(spark, sf_dir):
+    from quillon.llm.queries import op9_masked_scores
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lookup, counts, held = L.counted_vocabulary(docs)
+    whole = sum(r.log_likelihood for r in op9_masked_scores(spark, sf_dir).collect())
+    bound = (held[held > 0] * L.log_shares(lookup, held)[held > 0]).sum()  # the shares' part; the numbers' is below 0
+    assert bound < -1 and whole < bound
