@@ -283,7 +283,7 @@ def spans_of(docs: DataFrame, model: Trees) -> DataFrame:
     rows = rows.withColumn("scored", F.expr(f"transform(scored, c -> named_struct('g', c.g, 's', c.s, 'e', c.e, 'f', named_struct({named})))"))
     rows = rows.withColumn("scored", F.expr(f"transform(scored, c -> named_struct('g', c.g, 's', c.s, 'e', c.e, 'p', {model.sql('c.f')}))"))
     least = "array(" + ", ".join(f"{t!r}D" for t in model.thresholds) + ")"
-    rows = rows.withColumn("scored", F.expr(f"filter(scored, c -> c.p >= {least}[c.g] and not exists(found, b -> b.start < c.e and c.s < b.end))"))
+    rows = rows.withColumn("scored", F.expr(f"filter(scored, c -> c.p >= {least}[c.g] and not exists(found, b -> b.start <= c.s and c.e <= b.end))"))
     better = "d.s < c.e and c.s < d.e and (d.p > c.p or d.p = c.p and (d.s < c.s or d.s = c.s and (d.e > c.e or d.e = c.e and d.g < c.g)))"
     rows = rows.withColumn("scored", F.expr(f"filter(scored, c -> not exists(scored, d -> {better}))"))
     kinds = "array(" + ", ".join(f"'{k}'" for k in ADDED) + ")"

@@ -101,3 +101,16 @@ def test_plan_has_no_python(spark, sf_dir):
 
     plan = op4_private_spans(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Exchange" not in plan
+
+
+def test_a_card_inside_an_account_number_does_not_hide_it(spark, model):
+    def luhn(digits):
+        return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+    digits = next(d for d in (str(60161331926800 + i) for i in range(10, 100)) if luhn(d))
+    check = 98 - int("".join(str(int(c, 36)) for c in f"NWBK{digits}GB00")) % 97
+    iban = f"GB{check:02d} NWBK {digits[:4]} {digits[4:8]} {digits[8:12]} {digits[12:]}"
+    docs = spark.createDataFrame([(1, f"bank account iban {iban} thanks")], "doc_id long, text string")
+    found = [(s.kind, s.start, s.end) for s in P.find(docs, model).first().found]
+    assert ("card", 18 + iban.index(digits[:4]), 18 + len(iban)) in found and ("iban", 18, 18 + len(iban)) in found
+    assert P.redact(docs, model).first().text == "bank account iban [IBAN] thanks"
