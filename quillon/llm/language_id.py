@@ -251,7 +251,10 @@ def classify(docs: DataFrame, network: Network) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, network: Network, least: float = 0.0) -> DataFrame:
-    """The rows, with all their columns, whose language could be told with ``least`` score."""
+    """The rows, with all their columns, whose language could be told with ``least`` score.
+
+    With no languages learned nothing can be told, and every text with a letter stays.
+    """
     names = docs.columns
     languages, weights, hidden = network.languages, network.weights, network.hidden
 
@@ -259,10 +262,10 @@ def keep_known(docs: DataFrame, network: Network, least: float = 0.0) -> DataFra
         net = Network(languages, weights, hidden)
         for batch in batches:
             raw = batch.column("text").to_pylist()
-            read = [i for i, x in enumerate(raw) if languages and x and any(map(str.isalpha, x))]
+            read = [i for i, x in enumerate(raw) if x and any(map(str.isalpha, x))]
             keep = np.zeros(len(raw), bool)
             if read:
-                keep[read] = net.predict([raw[i].encode() for i in read]).max(1) >= least
+                keep[read] = net.predict([raw[i].encode() for i in read]).max(1) >= least if languages else True
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(names))], names).filter(pa.array(keep))
 
     return map_arrow(docs, rows, docs.schema)

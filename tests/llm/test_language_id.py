@@ -64,3 +64,11 @@ def test_edge_rows(spark):
     assert kept.columns == docs.columns and kept.count() == 62
     nothing = L.learn(docs.limit(0))
     assert {r.lang_pred for r in L.classify(docs, nothing).collect()} == {"und"} and L.classify(docs.limit(0), net).count() == 0
+
+
+def test_without_languages_texts_with_a_letter_stay(spark):
+    from quillon.llm import language_id
+
+    docs = spark.createDataFrame([(1, "some words", None), (2, None, None), (3, "12 34", None), (4, "\u00e9", None), (5, "", None)], "doc_id long, text string, lang string")
+    kept = language_id.keep_known(docs, language_id.learn(docs)).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 4]
