@@ -1,11 +1,14 @@
 """Connected components of links in rounds of joins; no task or driver holds all links.
 
-Method: large-star and small-star contraction. In a large-star step every node
-links its larger neighbours to the smallest of its neighbourhood, in a small-star
-step its smaller neighbours and itself; edges end as stars around each
-component's smallest node. Before each round a task contracts what it holds by
-union-find, which changes no component. Both steps of a round are written to the
-shared folder, so a lost executor costs no more than one step.
+Method: large-star and small-star contraction. An edge points from its smaller
+node to its larger one. A large step moves each edge's smaller end to the least
+node that points to it; a small step joins all nodes that point to one to the
+least of them. Edges end as stars around each component's smallest node, and the
+rounds stop when no node has two parents or is parent and child at once. Before
+the first round each task contracts what it holds by union-find, which changes
+no component. Both steps of a round are written to the shared folder, so a lost
+executor costs no more than one step. Joins on a hub's node are left to the
+adaptive splitting of skewed joins; sums before the exchange keep its minima small.
 
 Cases. Self-links and repeated links do nothing. An empty input gives no rows.
 Nodes are longs; null ends are not allowed (callers drop them).
@@ -64,31 +67,28 @@ def contract(edges: DataFrame, flush: int = 1 << 20) -> DataFrame:
     return map_arrow(edges, rows, EDGE)
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    """A count and an order-free sum, which stay once the stars are done."""
-    mixed = F.xxhash64("a", "b").cast("decimal(38,0)")
-    n, total = edges.agg(F.count("*"), F.sum(mixed)).first()
-    return n, int(total or 0)
+def _parents(edges: DataFrame) -> DataFrame:
+    """``node`` and ``low``, the least node that points to it."""
+    return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low"))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every node has one parent, and no parent has one."""
+    ends = F.explode(F.array(F.struct(F.col("b").alias("node"), F.col("a").alias("parent")), F.struct(F.col("a").alias("node"), F.lit(None).cast("long").alias("parent"))))
+    nodes = edges.select(ends.alias("e")).groupBy("e.node").agg(F.min("e.parent").alias("low"), F.max("e.parent").alias("high"), F.max(F.col("e.parent").isNull()).alias("parent"))
+    return nodes.filter((F.col("low") != F.col("high")) | (F.col("low").isNotNull() & F.col("parent"))).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of every node that has a link."""
-    edges = save(contract(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()))
-    state = _state(edges)
-    while state[0]:
-        # Large star, on both directions of each edge.
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("n"), F.least("a", "low").alias("low"))
-        large = both.join(least, F.col("a") == F.col("n")).filter("b > a and b <> low").select(F.col("low").alias("a"), "b")
-        # Small star: every node's smaller neighbours and itself, to the smallest of them. It is saved,
-        # as what a task contracts to depends on the order in which its rows arrive.
-        large = save(contract(large.distinct()))
-        least = large.groupBy("b").agg(F.min("a").alias("low")).withColumnRenamed("b", "n")
-        small = large.join(least, F.col("b") == F.col("n"))
-        small = small.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("a").alias("b")), F.struct(F.col("low").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        edges = save(small)
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
-    return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    # Saved, as what a task contracts to depends on the order in which its rows arrive.
+    edges = save(contract(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b")))
+    while not _settled(edges):
+        low = _parents(edges)
+        large = edges.join(low, F.col("a") == F.col("node"), "left").select(F.coalesce("low", "a").alias("a"), "b")
+        large = save(large)
+        low = _parents(large)
+        small = large.join(low, F.col("b") == F.col("node")).select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("a").alias("b")), F.struct(F.col("low").alias("a"), F.col("b").alias("b")))).alias("e"))
+        edges = save(small.select("e.*").filter("a <> b").distinct())
+    roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    return _parents(edges).withColumnRenamed("low", "component").unionByName(roots)

@@ -38,10 +38,31 @@ def test_tile_links_equal_double_precision(shape):
     y[:k] = x[:k] * 3 + rng.standard_normal((k, d)).astype(np.float32) * rng.uniform(0, 0.8, (k, 1)).astype(np.float32)
     u, v = E.unit(x), E.unit(y)
     cosines = u @ v.T
-    assert ((cosines >= 0.98) == E.links_of(x, y, 0.98)).all() and (cosines >= 0.98).any()
-    (qa, sa, ra), (qb, sb, rb) = E.quantise(u), E.quantise(v)
-    error = np.abs(cosines - (qa @ qb.T) * sa[:, None] * sb)
-    assert (error <= ra[:, None] * (1 + rb) + rb * (1 + ra)[:, None] + ra[:, None] * rb + 1e-12).all()
+    a, b = E.quantise(u), E.quantise(v)
+    estimate, off = E.bounds(a, b)
+    assert a[0].dtype == np.int8 and (np.abs(cosines - estimate) <= off).all()
+    found, doubt = E.settle(a, b, 0.98, False)
+    assert not (found & (cosines < 0.98)).any() and ((cosines >= 0.98) <= (found | doubt)).all() and (cosines >= 0.98).any()
+    i, j = np.nonzero(doubt)
+    found[i, j] = E.cosines(u[i], v[j]) >= 0.98
+    assert (found == (cosines >= 0.98)).all()
+
+
+def test_pair_has_the_same_cosine_in_any_tile():
+    rng = np.random.default_rng(3)
+    u = E.unit(rng.standard_normal((40, 37)))
+    whole = E.cosines(u, u[::-1])
+    assert all(E.cosines(u[i : i + 1], u[::-1][i : i + 1])[0] == whole[i] for i in range(40))
+
+
+def test_labels_of_text_and_doubles_link(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "ab"[i % 2], (rng.standard_normal(6) * 1e-200 + (1e-200 if i % 4 < 2 else 9e-200)).tolist()) for i in range(60)]
+    found = {r.vec_id: r for r in E.link(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>"), tile=8).collect()}
+    x = E.unit(np.array([r[2] for r in rows]))
+    same = np.array([[a[1] == b[1] for b in rows] for a in rows])
+    links = (x @ x.T >= 0.98) & same
+    assert [found[i].n_links for i in range(60)] == (links.sum(1) - 1).tolist() and links.sum() > 60
 
 
 def test_links_equal_brute_force(spark):
