@@ -3,16 +3,21 @@
 Method: base patterns (an assignment to a telling name, an access key id, a long
 hex run) report by shape alone. Beyond them, every base64 or hex run is only a
 candidate: it is decoded and has to parse before it is reported. A run ends at its
-padding, so that a name and '=' before it aren't part of it; one that doesn't parse
-is cut at '-' and '_', which may join a name to it, and its pieces are tried. A key must be
+padding, so that a name and '=' before it aren't part of it. Of one that doesn't
+parse, the pieces between '-' and '_' and the hex between any marks are tried, and
+every place after a mark where a key's header stands: the header's own length says
+where the key ends, so a path before or after a key doesn't hide it. A key must be
 DER whose nested lengths fill their parents exactly and whose fields are those
 of a private key (PKCS#1, PKCS#8 plain or encrypted, SEC 1), or the length-
-prefixed fields of an OpenSSH private key. A signed token must have a JSON
+prefixed fields of an OpenSSH private key; a PEM block under an encryption header
+must decode to whole cipher blocks. A signed token must have a JSON
 header with a known algorithm, a JSON payload and a signature of the length
 which that algorithm makes. A decoded run that is text with a candidate in it
 is opened again, up to ``DEPTH`` times.
 
-Cases. A null or empty text has no spans. Positions are code points, the end
+Cases. A null or empty text has no spans. Runs under 40 characters are no
+candidates: 30 bytes are too few for any of these keys (a P-256 key alone takes 39).
+A token header nested too deeply to parse is no header. Positions are code points, the end
 exclusive. Per kind, spans don't overlap; spans of different kinds may. Texts
 of any length are scanned whole. Equal rows give equal results, an empty table
 gives no rows, and columns other than the id and the text are not read.
@@ -38,7 +43,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 PIECE = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(ey[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
+DIGITS = re.compile(r"[0-9a-fA-F]{40,}")
+#: Where a key may begin inside a run: DER's first byte is 0x30; the magic word of OpenSSH.
+HEAD = re.compile(r"(?<![A-Za-z0-9])(?:M[A-P]|b3BlbnNzaC1rZXktdjEA)")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(\s*Proc-Type: 4,ENCRYPTED\s+DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]{16,32}\s)?((?:[A-Za-z0-9+/=\s]|\\[nr])+)-----END \1-----")
 SIGNATURE_BYTES = {"HS256": (32, 32), "HS384": (48, 48), "HS512": (64, 64), "ES256": (64, 64), "ES384": (96, 96), "ES512": (132, 132), "EdDSA": (64, 114)} | {f"{p}{n}": (128, 1024) for p in ("RS", "PS") for n in (256, 384, 512)}
 
 
@@ -130,7 +138,7 @@ def signed_token(header: str, payload: str, signature: str) -> str | None:
         return None
     try:
         head, body = (json.loads(x) for x in parts[:2])
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
     if not isinstance(head, dict) or not isinstance(body, dict):
         return None
@@ -157,19 +165,79 @@ def coded(run: str, depth: int) -> str | None:
     return confirm(data, depth) if data else None
 
 
+def der_end(text: str, at: int) -> int | None:
+    """Where the base64 of a DER key that begins at ``at`` ends, by its header; its first field must be a version or an algorithm."""
+    head = decode64(text[at : at + 12])
+    if not head or len(head) < 9:
+        return None
+    wide = head[1] - 0x80 if head[1] >= 0x80 else 0
+    if wide > 2 or head[2 + wide] not in (0x02, 0x30):  # no key takes more than 64 KiB
+        return None
+    size = 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
+    return at - (-4 * size // 3)
+
+
+def openssh_end(text: str, at: int, end: int) -> int | None:
+    """Where the base64 of an OpenSSH key that begins at ``at`` ends, by the lengths of its fields."""
+
+    def number(place: int) -> int | None:
+        first = at + place // 3 * 4
+        data = decode64(text[first : first + 8]) if first + 8 <= end else None
+        return int.from_bytes(data[place % 3 : place % 3 + 4], "big") if data and len(data) == 6 else None
+
+    place, left, keys = 15, 3, False
+    while left:
+        if (size := number(place)) is None:
+            return None
+        place, left = place + 4 + size, left - 1
+        if at + place // 3 * 4 > end:
+            return None
+        if not left and not keys:
+            if not (n := number(place)):
+                return None
+            place, left, keys = place + 4, min(n, 16) + 1, True
+    return at - (-4 * place // 3)
+
+
+def inner_spans(text: str, at: int, end: int, depth: int) -> list[tuple[str, int, int, str]]:
+    """Keys inside a run of text[at:end] that isn't one as a whole, from left to right without overlaps."""
+    tried = [(p.start(), p.end(), what) for p in PIECE.finditer(text, at, end) if p.end() - p.start() < end - at and (what := coded(p[0], depth))]
+    tried += [(p.start(), p.end(), what) for p in DIGITS.finditer(text, at, end) if p.end() - p.start() < end - at and (what := coded(p[0], depth))]
+    last = at
+    for p in HEAD.finditer(text, at, end):
+        begin = p.start()
+        if begin < last or end - begin < 40:
+            continue
+        stop = der_end(text, begin) if text[begin] == "M" else openssh_end(text, begin, end)
+        if stop is None or stop > end or stop - begin < 40 or text[stop : stop + 1].isalnum():
+            continue
+        data = decode64(text[begin:stop])
+        if data and (what := der_key(data) or openssh_key(data)):
+            last = min(stop + len(re.match("={0,2}", text[stop:end])[0]), end)
+            tried.append((begin, last, what))
+    found, last = [], at
+    for start, stop, what in sorted(tried):
+        if start >= last:
+            found.append(("key", start, stop, what))
+            last = stop
+    return found
+
+
 def encoded_spans(text: str, depth: int = DEPTH) -> list[tuple[str, int, int, str]]:
     """Spans of encoded secrets that their structure confirms, by kind and start."""
     found = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            data = decode64(re.sub(r"\s|\\[nr]", "", m[2]))
-            if data and (what := confirm(data, 0)):
+            data = decode64(re.sub(r"\s|\\[nr]", "", m[3]))
+            if not data:
+                continue
+            if what := ("encrypted" if not len(data) % 8 else None) if m[2] else confirm(data, 0):
                 found.append(("pem", m.start(), m.end(), what))
     for m in RUN.finditer(text):
         if what := coded(m[0], depth):
             found.append(("key", m.start(), m.end(), what))
-        elif "-" in m[0] or "_" in m[0]:
-            found += [("key", p.start(), p.end(), what) for p in PIECE.finditer(text, m.start(), m.end()) if (what := coded(p[0], depth))]
+        else:
+            found += inner_spans(text, m.start(), m.end(), depth)
     if "ey" in text and "." in text:
         for m in TOKEN.finditer(text):
             if what := signed_token(*m.groups()):
