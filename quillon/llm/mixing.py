@@ -12,12 +12,18 @@ document whose size is nearest to what is still missing, if that comes nearer.
 
 The order of a source is never brought together in one task: hashes fall into
 bins, the sums of the bins say which bin the fraction ends in, and only that
-bin is sorted. The number of bins follows the number of rows.
-
-Cases. A null or empty text has size 0 and takes nothing. A null source is a
-source of its own and comes last in the order of weights. Copies and rows with
-the same id are kept apart by their size, and equal rows may change places. An
-empty table gives no rows. Only id, text and source are read.
+bin is sorted. The number of bins follows the number of rows. The last bin is
+gone through ``PASSES`` times for documents that still fit; more passes would
+only bring a source nearer to its target than one document of that bin. The
+water level is found in one task from one row for each source: a mix names its
+sources, and a million of them take some 100 MB there.
+
+Cases. A null or empty text has size 0, takes nothing and isn't repeated. A null
+source is a source of its own and comes last in the order of weights. The hash is
+of id and text, so neither null nor repeated ids fall together; rows that agree
+in id, source and text are told apart by nothing, share a bin, and may change
+places: together they are repeated as often as the mix takes them. An empty table
+gives no rows. Only id, text and source are read.
 """
 
 from __future__ import annotations
@@ -34,9 +40,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 PASSES = 3
 
 
-def seeded_hash(key, seed: int):
-    """52 bits of the MD5 of the id and the seed, which SQL engines compute alike."""
-    text = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}"))
+def seeded_hash(key, text, seed: int):
+    """52 bits of the MD5 of the id, the seed and the MD5 of the text, which SQL engines compute alike."""
+    text = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}:"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
@@ -44,7 +50,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     """The water-filling: one row for each source with its ``target`` in words.
 
     ``sources`` has ``source`` and ``source_size``; both windows run over one row
-    for each source.
+    for each source, in one task.
     """
     by_name = W.Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*(F.lit(float(w)) for w in weights))
@@ -65,24 +71,24 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return ranked.select("source", "source_size", target.alias("target"))
 
 
+def measured(docs: DataFrame, seed: int) -> DataFrame:
+    """``doc_id``, ``source``, ``size`` in words and the seeded ``draw`` of each row."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), seeded_hash(F.col("doc_id"), F.col("text"), seed).alias("draw"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, epochs: float = 2.0, seed: int = 17, rows_per_bin: int = 5_000) -> DataFrame:
     """How often the mix takes each document.
 
     Returns ``doc_id``, ``source``, ``size``, ``source_size``, ``target``,
-    ``repeats`` (whole repetitions, the sampled one included) and ``taken`` (its
-    words times that). Deterministic for given rows and ``seed``.
+    ``repeats`` (whole repetitions, the sampled one included), ``taken`` (its
+    words times that) and ``draw``. Deterministic for given rows and ``seed``.
     """
-    size = F.regexp_count("text", F.lit(WORD)).cast("long")
-    return mix_sized(docs.select("doc_id", "source", F.coalesce(size, F.lit(0)).cast("long").alias("size")), weights, share, epochs, seed, rows_per_bin)
-
-
-def mix_sized(docs: DataFrame, weights=WEIGHTS, share=1.5, epochs=2.0, seed=17, rows_per_bin=5_000) -> DataFrame:
-    """As ``mix`` for rows that have ``doc_id``, ``source`` and ``size``."""
-    sized = docs.select("doc_id", "source", "size").withColumn("draw", seeded_hash(F.col("doc_id"), seed))
+    sized = measured(docs, seed)
     sized = save(sized)
     rows = sized.count()
-    bins = 1 << max(0, (rows // rows_per_bin).bit_length())
-    sized = sized.withColumn("bin", F.floor(F.col("draw") * F.lit(bins) / F.lit(1 << 52)).cast("long"))
+    bits = min(52, (rows // rows_per_bin).bit_length())
+    sized = sized.withColumn("bin", F.shiftright("draw", 52 - bits))
     held = save(sized.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")))
     goal = targets(held.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, epochs)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -96,8 +102,9 @@ def mix_sized(docs: DataFrame, weights=WEIGHTS, share=1.5, epochs=2.0, seed=17,
     cut = cut.select(F.col("source").alias("cut_source"), F.col("bin").alias("cut_bin"), "bin_before", "source_size", "target", "whole", "rest", state.alias("state"))
     # One row for each source and bin: the bins are bounded by rows / rows_per_bin, which may pass a broadcast.
     placed = sized.join(cut, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("bin") == F.col("cut_bin")))
-    columns = ["doc_id", "source", "size", "source_size", "target"]
-    whole = placed.filter("state < 2").select(*columns, (F.col("whole") + F.col("state")).alias("repeats"))
+    columns = ["doc_id", "source", "size", "source_size", "target", "draw"]
+    some = (F.col("size") > 0).cast("long")
+    whole = placed.filter("state < 2").select(*columns, (some * (F.col("whole") + F.col("state"))).alias("repeats"))
     bin_of = W.Window.partitionBy("source", "bin")
     drawn = bin_of.orderBy("draw", "doc_id", "size").rowsBetween(W.Window.unboundedPreceding, 0)
     ends = placed.filter("state = 2").withColumns({"fits": F.lit(False), "short": F.col("rest") - F.col("bin_before")})
@@ -108,17 +115,16 @@ def mix_sized(docs: DataFrame, weights=WEIGHTS, share=1.5, epochs=2.0, seed=17,
         ends = ends.withColumn("short", F.col("short") - F.coalesce(F.max(F.when(F.col("words_up_to") <= F.col("short"), F.col("words_up_to"))).over(bin_of), F.lit(0)))
     nearest = bin_of.orderBy("fits", F.abs(F.col("size") - F.col("short")), "draw", "doc_id", "size")
     topped = ~F.col("fits") & (F.row_number().over(nearest) == 1) & (F.abs(F.col("size") - F.col("short")) < F.col("short"))
-    edge = ends.select(*columns, (F.col("whole") + (F.col("fits") | topped).cast("long")).alias("repeats"))
+    edge = ends.select(*columns, (some * (F.col("whole") + (F.col("fits") | topped).cast("long"))).alias("repeats"))
     return whole.unionByName(edge).withColumn("taken", F.col("repeats") * F.col("size"))
 
 
-def repeat(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mixed corpus: each row of ``docs``, all columns kept, as often as ``mixed`` says.
-
-    Ids are taken to be unique in a source; rows that share both are all repeated
-    as often as the one of them that is repeated most.
-    """
-    counts = mixed.groupBy("doc_id", "source").agg(F.max("repeats").alias("repeats")).filter("repeats > 0")
-    counts = counts.select(F.col("doc_id").alias("mixed_id"), F.col("source").alias("mixed_source"), F.sequence(F.lit(1), F.col("repeats").cast("int")).alias("copies"))
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(counts["mixed_id"]) & docs["source"].eqNullSafe(counts["mixed_source"]))
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(counts["copies"]).alias("number of the copy")).drop("number of the copy")
+def repeat(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, epochs: float = 2.0, seed: int = 17, rows_per_bin: int = 5_000) -> DataFrame:
+    """The mixed corpus: each row of ``docs``, all columns kept, as often as ``mix`` takes it."""
+    keys = ("doc_id", "source", "draw")
+    counts = mix(docs, weights, share, epochs, seed, rows_per_bin).groupBy(*(F.col(c).alias(f"mixed {c}") for c in keys)).agg(F.sum("repeats").alias("mixed total"), F.count("*").alias("mixed rows")).filter("`mixed total` > 0")
+    of = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own doc_id"), F.col("source").alias("own source"), seeded_hash(F.col("doc_id"), F.col("text"), seed).alias("own draw"))
+    nth = F.row_number().over(W.Window.partitionBy(*(f"own {c}" for c in keys)).orderBy("own draw"))
+    joined = of.withColumn("own nth", nth).join(counts, [F.col(f"own {c}").eqNullSafe(F.col(f"mixed {c}")) for c in keys])
+    times = F.floor(F.col("mixed total") / F.col("mixed rows")) + (F.col("own nth") <= F.col("mixed total") % F.col("mixed rows")).cast("long")
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("copy")).select("row.*")

@@ -48,14 +48,25 @@ def test_mix_meets_targets(spark, bins):
         assert abs(taken[s] - expected[s]) <= max(12, 0.02 * expected[s]) or s == "y"
     again = M.mix(docs.repartition(7), rows_per_bin=bins).collect()
     assert sorted(got, key=str) == sorted(again, key=str)
-    copies = M.repeat(docs.filter("doc_id > 4"), M.mix(docs.filter("doc_id > 4"), rows_per_bin=bins))
-    assert copies.columns == docs.columns and copies.count() == sum(r.repeats for r in M.mix(docs.filter("doc_id > 4"), rows_per_bin=bins).collect())
+    copies = M.repeat(docs, rows_per_bin=bins)
+    assert copies.columns == docs.columns and not any(r.repeats for r in got if not r.size)
+    repeats = defaultdict(int)
+    for r in got:
+        repeats[r.doc_id, r.source, r["draw"]] += r.repeats
+    key = M.seeded_hash(M.F.col("doc_id"), M.F.col("text"), 17).alias("draw")
+    found = {(r.doc_id, r.source, r["draw"]): r["count"] for r in copies.groupBy("doc_id", "source", key).count().collect()}
+    assert found == {k: n for k, n in repeats.items() if n}
     assert M.mix(docs.limit(0)).count() == 0
 
 
 def test_hash_is_the_head_of_md5(spark):
-    (r,) = spark.createDataFrame([(5,)], "doc_id long").select(M.seeded_hash(__import__("pyspark").sql.functions.col("doc_id"), 17).alias("h")).collect()
-    assert r.h == int(hashlib.md5(b"5:17").hexdigest()[:13], 16)
+    (r,) = spark.createDataFrame([(5, "é")], "doc_id long, text string").select(M.seeded_hash(M.F.col("doc_id"), M.F.col("text"), 17).alias("h")).collect()
+    assert r.h == int(hashlib.md5(b"5:17:" + hashlib.md5("é".encode()).hexdigest().encode()).hexdigest()[:13], 16)
+
+
+def test_null_and_repeated_ids_spread_over_bins(spark):
+    docs = spark.createDataFrame([(None if i % 2 else 7, f"text {i}", "a") for i in range(400)], "doc_id long, text string, source string")
+    assert len({r["draw"] >> 46 for r in M.measured(docs, 17).collect()}) > 50
 
 
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 7, "d": 0}, {"a": 1}, {"a": 5, "b": 5, "c": 5, None: 500}, {"a": 0}])
