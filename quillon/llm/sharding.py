@@ -10,8 +10,7 @@ document on each side.
 Cases. A null or empty text has size 1 and CRC 0. Rows with equal keys are
 ordered by the text's CRC and size, so equal rows may change places without a
 visible difference. A null key sorts first. An empty table gives no rows. Extra columns are
-ignored unless named in ``keep``; clashing names do no harm because the inputs
-are renamed first. The law has no groups of its own: equal texts are the only
+ignored, or kept together in one struct ``row``, so clashing names do no harm. The law has no groups of its own: equal texts are the only
 groups, and a boundary may fall between two copies.
 """
 
@@ -23,18 +22,18 @@ from pyspark.sql import functions as F
 from quillon.llm.common import prefix_sums
 
 
-def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
     """Assign every row a shard and its place there.
 
     Returns ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``,
-    ``grown_shard`` (null: this law moves rows when the count changes) and the
-    columns in ``keep``.
+    ``grown_shard`` (null: this law moves rows when the count changes) and, with
+    ``keep``, the struct ``row`` of all columns.
     """
     rows = docs.select(
         F.col(key).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        *(F.col(c).alias(f"kept_{c}") for c in keep),
+        *([F.struct("*").alias("row")] if keep else []),
     )
     rows, _, total = prefix_sums(rows, ["doc_id", "text_crc32", "size"], "size")
     middle = F.col("size_before") * 2 + F.col("size")
@@ -49,11 +48,18 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
         "shard",
         (F.col("row_index") - starts[F.col("shard")]).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        *(F.col(f"kept_{c}").alias(c) for c in keep),
+        *(["row"] if keep else []),
     )
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id", text: str = "text") -> None:
-    """Write the table as Parquet with one folder for each shard."""
-    rest = tuple(c for c in docs.columns if c != key)
-    shard(docs, shards, key, text, rest).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id", text: str = "text") -> str:
+    """Write the table, all its columns, as Parquet with one folder for each shard.
+
+    Returns the name of the folders' column: ``shard``, with underscores after it
+    if the table has a column of that name.
+    """
+    name = "shard"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    shard(docs, shards, key, text, keep=True).select("row.*", F.col("shard").alias(name)).write.partitionBy(name).parquet(path)
+    return name

@@ -31,6 +31,11 @@ def test_edge_rows(spark, tmp_path):
     docs = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, size int").repartition(6)
     check(S.shard(docs, 4).collect(), rows, 4)
     assert S.shard(docs.limit(0), 4).count() == 0
-    S.write_shards(docs.drop("size"), str(tmp_path / "out"), 4)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == len(rows) and {r.shard for r in back.select("shard").distinct().collect()} <= set(range(4))
+    clashing = docs.selectExpr("*", "doc_id as shard", "'a' as law", "1 as slot", "2 as row_index", "3 as size_before", "4 as text_crc32", "5 as row")
+    for df, name in ((docs, "shard"), (clashing, "shard_")):
+        out = str(tmp_path / name)
+        assert S.write_shards(df, out, 4) == name
+        back = spark.read.parquet(out)
+        assert sorted(back.columns) == sorted([*df.columns, name])
+        assert sorted(map(str, back.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+        assert {r[0] for r in back.select(name).distinct().collect()} <= set(range(4))
