@@ -6,10 +6,15 @@ position gets a probability for each language from both states. A document's
 probabilities are the means over all its positions. The network is trained in
 numpy by backpropagation through time with Adam, on the driver.
 
-What is learned from: rows with a language, at most ``documents_per_language``
-of each (those with the smallest hashes of their id) and ``windows_per_document``
-evenly spaced windows of each text; both bounds are parameters and don't depend
-on the size of the table. Prediction reads every byte of every text and nothing
+What is learned from: labelled rows with a letter, at most
+``documents_per_language`` of each language (those with the smallest hashes of
+their id), and all windows of their whole texts; of a language with more than
+``windows_per_language`` of them those with the smallest hashes, wherever in a
+text they lie. Both bounds are parameters and don't depend on the size of the
+table. Before any exchange rows are cut to about four times the asked number by
+hash, which leaves fewer than asked only by a chance far below one in a million.
+The driver sees one row for each language, which the network has an output for,
+and the windows. Prediction reads every byte of every text and nothing
 but the text.
 
 Cases. A null text, or one without any letter, is ``und`` with score 0; so is
@@ -29,11 +34,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from quillon.llm.common import map_arrow
+from quillon.llm.shingles import mix
 
 UNDETERMINED = "und"
 WINDOW, HIDDEN, BATCH = 64, 10, 4096
-#: One output for each language; more labels than this are an error.
-MOST_LANGUAGES = 512
 
 
 @dataclass
@@ -190,13 +194,12 @@ def train(windows: list[bytes], labels: list[str], steps: int = 260, batch: int
     return network
 
 
-def even_windows(raw: bytes, count: int, window: int) -> list[bytes]:
-    """Up to ``count`` evenly spaced whole windows; a short text repeats itself to fill one."""
+def windows_of(raw: bytes, window: int) -> list[bytes]:
+    """A whole text as windows, the last one moved back to be whole; a short text repeats itself to fill one."""
     if len(raw) < window:
         return [(raw * (window // len(raw) + 1))[:window]]
-    n = min(count, len(raw) // window)
-    last = len(raw) - window
-    return [raw[i : i + window] for i in (last * np.arange(n) // max(n - 1, 1)).tolist()]
+    starts = [*range(0, len(raw) - window, window), len(raw) - window]
+    return [raw[i : i + window] for i in starts]
 
 
 def held_out(key="doc_id"):
@@ -204,28 +207,29 @@ def held_out(key="doc_id"):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, documents_per_language: int = 400, windows_per_document: int = 8, window: int = WINDOW, **fit) -> Network:
+def learn(docs: DataFrame, documents_per_language: int = 400, windows_per_language: int = 40_000, window: int = WINDOW, **fit) -> Network:
     """Train on a bounded sample of the labelled rows that are not held out."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    labelled = docs.filter(F.col("lang").isNotNull() & ~held_out())
-    counted = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counted) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    labelled = docs.filter(F.col("lang").isNotNull() & ~held_out() & F.col("text").rlike(r"\p{L}"))
+    counted = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counted:
         return train([], [], **fit)
-    # A first cut by hash, before any exchange, leaves about four times the rows that are needed.
     draw = F.conv(F.substring(F.md5(F.concat(key, F.lit(":language"))), 1, 8), 16, 10).cast("long")
     below = F.create_map(*(F.lit(x) for lang, n in sorted(counted.items()) for x in (lang, min(1 << 32, (4 * documents_per_language << 32) // n))))
-    rows = labelled.select("doc_id", "lang", "text", draw.alias("draw")).filter((F.col("draw") < below[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
+    rows = labelled.select("doc_id", "lang", "text", draw.alias("draw")).filter(F.col("draw") < below[F.col("lang")])
     first = W.Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
-    chosen = rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= documents_per_language).select("lang", "text")
+    chosen = rows.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= documents_per_language).select("lang", "text", "draw")
 
     def cut(batches):
         for batch in batches:
-            pairs = [(lang, w) for lang, x in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) for w in even_windows(x.encode(), windows_per_document, window)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.binary())], ["lang", "piece"])
-
-    sample = sorted((r.lang, bytes(r.piece)) for r in map_arrow(chosen, cut, "lang string, piece binary").collect())
+            for lang, text, at in zip(*(batch.column(c).to_pylist() for c in ("lang", "text", "draw")), strict=True):
+                pieces = windows_of(text.encode(), window)
+                order = mix(np.uint64(at) * np.uint64(1 << 32) + np.arange(len(pieces), dtype=np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(pieces), pa.string()), pa.array(pieces, pa.binary()), pa.array(order)], ["lang", "piece", "order"])
+
+    pieces = map_arrow(chosen, cut, "lang string, piece binary, order long")
+    nth = F.row_number().over(W.Window.partitionBy("lang").orderBy("order", "piece"))
+    sample = sorted((r.lang, bytes(r.piece)) for r in pieces.withColumn("nth", nth).filter(F.col("nth") <= windows_per_language).select("lang", "piece").collect())
     return train([p for _, p in sample], [lang for lang, _ in sample], **fit)
 
 

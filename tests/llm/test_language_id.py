@@ -51,6 +51,57 @@ def test_held_out_accuracy_and_contract(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1
 
 
+def plain(net, raw):
+    """Mean probabilities over a text's bytes by a loop over one byte after the other."""
+    w, n, total = {k: x.astype(float) for k, x in net.weights.items()}, net.hidden, 0.0
+
+    def step(d, byte, h):
+        x, g = w[f"x{d}"][:, byte], w[f"u{d}"] @ h
+        gates = np.clip((x[: 2 * n] + g[: 2 * n]) / 4 + 0.5, 0, 1)
+        new = np.clip(x[2 * n :] + gates[n:] * g[2 * n :], -1, 1)
+        return gates[:n] * h + (1 - gates[:n]) * new
+
+    for at in range(0, len(raw), L.WINDOW):
+        piece, left, right = raw[at : at + L.WINDOW], [np.zeros(n)], [np.zeros(n)]
+        for byte in piece:
+            left.append(step("f", byte, left[-1]))
+        for byte in reversed(piece):
+            right.append(step("b", byte, right[-1]))
+        for i in range(len(piece)):
+            y = np.exp(w["v"] @ np.concatenate([left[i + 1], right[len(piece) - i]]) + w["c"][:, 0])
+            total = total + y / y.sum()
+    return total / len(raw)
+
+
+def test_query_equals_a_loop_over_bytes(spark, sf_dir):
+    from quillon.llm.queries import op6_language_id
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    net = L.learn(docs)
+    got = {r.doc_id: r for r in op6_language_id(spark, sf_dir).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for k in sorted(texts, key=lambda k: len(texts[k] or ""))[:150:3]:
+        if not any(map(str.isalpha, texts[k] or "")):
+            assert (got[k].lang_pred, got[k].score) == ("und", 0)
+            continue
+        p = plain(net, texts[k].encode())
+        assert got[k].lang_pred == net.languages[int(p.argmax())] and got[k].score == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_all_windows_of_a_text_are_learned_from():
+    raw = bytes(range(200))
+    windows = L.windows_of(raw, 64)
+    assert [w[0] for w in windows] == [0, 64, 128, 136] and set(b"".join(windows)) == set(raw) and L.windows_of(raw[:128], 64) == [raw[:64], raw[64:128]]
+    assert L.windows_of(b"ab", 5) == [b"ababa"]
+
+
+def test_many_languages_are_learned(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"l{i % 600}") for i in range(3000)], "doc_id long, text string, lang string")
+    net = L.learn(docs, steps=2)
+    assert len(net.languages) == 600 and L.classify(docs.limit(5), net).count() == 5
+
+
 def test_edge_rows(spark):
     words = {"xx": "abba cabba dabba ", "yy": "ziv wox zup vizz "}
     rows = [(i, words[k] * 30, k, "s") for i in range(60) for k in [("xx", "yy")[i % 2]]]
