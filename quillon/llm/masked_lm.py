@@ -2,20 +2,26 @@
 
 Method: a small network sees a window on both sides of a position, not the word
 there, and predicts that word. A document's score is the sum of the log
-probabilities of all its words, each given its neighbours. A word's probability
-is that of its number times the share of its bucket in that number.
-
-Words are counted over all documents (in ``BUCKETS`` hash buckets). The commonest
-get a number of their own, the others share ``RARE`` numbers by their hash; a
-bucket's share of its number is its count, smoothed by a half, over the number's.
-A bucket that never occurs has the half alone. Words of one bucket aren't told apart. The
-output is a softmax over classes of numbers and one inside the class; its biases
-start at the counted frequencies. Every partition of the corpus trains a copy of
-the weights by Adagrad on its own documents, each document giving every
-``STRIDE``-th of its positions as targets from a phase that follows from its
-words; the copies are averaged by their numbers of targets, in levels, and
-``ROUNDS`` rounds follow on each other. What is gathered grows with the corpus;
-what the driver sees is one set of weights.
+probabilities of all its words, each given its neighbours.
+
+Words are counted over all documents, each by its own 64-bit hash. Those that
+occur most often make the vocabulary, at most ``KNOWN``: all above a count, so
+that no tie is broken; of them the ``OWN`` commonest are numbers of
+their own, and every other word belongs to the number of its first byte. Inside
+such a number a word of the vocabulary has its counted share, and what is left
+is the share of all words outside the vocabulary, which a chain of bytes spells:
+the first byte given the number, each next byte or the word's end given the last
+byte, counted over all occurrences of such words. So every word has a probability
+of its own, and those of a number sum to one at most (the spelling also gives
+some to words that are counted).
+
+The network predicts numbers: a softmax over classes of numbers and one inside
+the class; its biases start at the counted frequencies. Every partition of the
+corpus trains a copy of the weights by Adagrad, every position of its documents
+being a target in each of ``ROUNDS`` rounds; the copies are averaged by their
+numbers of targets, in levels. Weights therefore depend on how the rows are
+dealt over partitions; for given partitions they repeat. What is counted grows
+with the corpus; what the driver sees is the vocabulary and one set of weights.
 
 Cases. A null, empty or blank text has 0 words, score 0 and no mean. Equal texts
 get equal scores for given weights. Texts of any length count and are scored
@@ -26,6 +32,7 @@ other than the id and the text are not read.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import map_arrow, save
-from quillon.llm.shingles import word_hashes
+from quillon.llm.shingles import lower, word_runs
 
-BUCKETS, CLASSES, INSIDE, RARE = 1 << 18, 32, 32, 64
+#: Words with shares of their own, numbers, and how numbers lie in classes.
+KNOWN, CLASSES, INSIDE, GROUPS = 65_536, 64, 64, 64
 VOCABULARY = CLASSES * INSIDE
-AROUND, HIDDEN, STRIDE, ROUNDS, BATCH = (-2, -1, 1, 2), 16, 8, 2, 4096
+OWN = VOCABULARY - GROUPS
+AROUND, HIDDEN, ROUNDS, BATCH = (-2, -1, 1, 2), 16, 1, 16_384
+#: Hashes that a task counts before it passes them on.
+HELD = 400_000
+#: What every byte is taken to occur more often than it was counted.
+UNSEEN = 0.1
 
 
 class Network:
@@ -70,208 +83,320 @@ class Network:
             at += n
         return Network(w)
 
+    def tame(self) -> bool:
+        """Whether no logit can leave the range of ``exp``, as hidden units lie between -1 and 1."""
+        w = self.weights
+        return all(float((np.abs(w[k]).sum(-1) + np.abs(w[b])).max()) < 80 for k, b in (("cw", "cb"), ("ww", "wb")))
+
     def hidden(self, context: np.ndarray) -> np.ndarray:
         """(position, unit) for the numbers around each position, (position, place)."""
-        h = self.weights["e"][0][context[:, 0]] + self.weights["b"]
+        h = self.weights["e"][0][context[:, 0]]
+        h += self.weights["b"]
         for p in range(1, len(AROUND)):
             h += self.weights["e"][p][context[:, p]]
         return np.tanh(h, out=h)
 
+    def _inner(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """What the softmax inside a class starts from, for positions sorted by class."""
+        y = np.empty((len(h), INSIDE), h.dtype)
+        for k in range(CLASSES):
+            some = slice(bounds[k], bounds[k + 1])
+            np.matmul(h[some], self.weights["ww"][k].T, out=y[some])
+            y[some] += self.weights["wb"][k]
+        return y
+
+    @staticmethod
+    def by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of the targets by class, and where each class begins in it."""
+        kind = (target % CLASSES).astype(np.uint8)
+        return np.argsort(kind, kind="stable"), np.append(0, np.cumsum(np.bincount(kind, minlength=CLASSES)))
+
     def log_probabilities(self, target: np.ndarray, context: np.ndarray) -> np.ndarray:
         """The log probability of each target given what is around it."""
-        w, h = self.weights, self.hidden(context)
-        kind, inside = target % CLASSES, target // CLASSES
-        out = _log_softmax(h @ w["cw"].T + w["cb"])[np.arange(len(h)), kind]
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            at = order[bounds[k] : bounds[k + 1]]
-            if len(at):
-                out[at] += _log_softmax(h[at] @ w["ww"][k].T + w["wb"][k])[np.arange(len(at)), inside[at]]
+        w, (order, bounds) = self.weights, self.by_class(target)
+        target, row = target[order], np.arange(len(target))
+        h = self.hidden(context[order])
+        tame = self.tame()
+        found = _log_at(h @ w["cw"].T + w["cb"], row, target % CLASSES, tame)
+        found += _log_at(self._inner(h, bounds), row, target // CLASSES, tame)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradients(self, target: np.ndarray, context: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         """Of the mean negative log probability."""
-        w, n = self.weights, len(target)
+        w, n, (order, bounds) = self.weights, len(target), self.by_class(target)
+        target, context, row = target[order], context[order], np.arange(n)
         h = self.hidden(context)
-        kind, inside, row = target % CLASSES, target // CLASSES, np.arange(n)
         grad = {k: np.zeros_like(x) for k, x in w.items()}
-        a = _log_softmax(h @ w["cw"].T + w["cb"])
-        loss = -float(a[row, kind].sum())
-        a = np.exp(a)
-        a[row, kind] -= 1
-        a /= n
+        a = h @ w["cw"].T + w["cb"]
+        tame = self.tame()
+        loss = -_errors(a, row, target % CLASSES, tame)
         grad["cw"], grad["cb"] = a.T @ h, a.sum(0)
         dh = a @ w["cw"]
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        y = self._inner(h, bounds)
+        loss -= _errors(y, row, target // CLASSES, tame)
         for k in range(CLASSES):
-            at = order[bounds[k] : bounds[k + 1]]
-            if not len(at):
-                continue
-            y = _log_softmax(h[at] @ w["ww"][k].T + w["wb"][k])
-            loss -= float(y[np.arange(len(at)), inside[at]].sum())
-            y = np.exp(y)
-            y[np.arange(len(at)), inside[at]] -= 1
-            y /= n
-            grad["ww"][k], grad["wb"][k] = y.T @ h[at], y.sum(0)
-            dh[at] += y @ w["ww"][k]
+            some = slice(bounds[k], bounds[k + 1])
+            grad["ww"][k], grad["wb"][k] = y[some].T @ h[some], y[some].sum(0)
+            dh[some] += y[some] @ w["ww"][k]
         dh *= 1 - h * h
         grad["b"] = dh.sum(0)
         for p in range(len(AROUND)):
-            np.add.at(grad["e"][p], context[:, p], dh)
+            at = context[:, p].astype(np.uint16)
+            by = np.argsort(at, kind="stable")
+            at = at[by]
+            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            grad["e"][p][at[first]] = np.add.reduceat(dh[by], first, 0)
         return grad, loss / n
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+def _log_at(x: np.ndarray, row: np.ndarray, column: np.ndarray, tame: bool) -> np.ndarray:
+    """The log of the softmax of each row at one column; ``x`` is used up."""
+    if not tame:
+        x -= x.max(1, keepdims=True)
+    chosen = x[row, column]
+    np.exp(x, out=x)
+    return chosen - np.log(x.sum(1))
 
 
-def numbers(hashes: np.ndarray, lookup: np.ndarray) -> np.ndarray:
-    """The number of each word, its bucket's own or one of the shared ones; or what else ``lookup`` has for buckets."""
-    return lookup[(hashes >> np.uint64(64 - 18)).astype(np.int64)]
+def _errors(x: np.ndarray, row: np.ndarray, column: np.ndarray, tame: bool) -> float:
+    """Turns rows into softmax minus truth, over their number; gives the sum of the log probabilities."""
+    if not tame:
+        x -= x.max(1, keepdims=True)
+    chosen = x[row, column]
+    np.exp(x, out=x)
+    total = x.sum(1)
+    x *= (1 / (total * len(x)))[:, None]
+    x[row, column] -= 1 / len(x)
+    return float((chosen - np.log(total)).sum())
 
 
-def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(position, place): the numbers around each word inside its text, VOCABULARY outside."""
-    n, ends = len(ids), np.cumsum(counts)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    out = np.full((n, len(AROUND)), VOCABULARY, np.int64)
-    first, last = (ends - counts)[owner], ends[owner]
-    for p, step in enumerate(AROUND):
-        at = np.arange(n) + step
-        good = (at >= first) & (at < last)
-        out[good, p] = ids[at[good]]
-    return out
+@dataclass
+class Vocabulary:
+    """The counted words: sorted hashes with their numbers and log shares, and what is left for others."""
+
+    hashes: np.ndarray
+    number: np.ndarray
+    share: np.ndarray
+    escape: np.ndarray
+    counts: np.ndarray
+
+    def read(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of each word, its log share of the number, and whether it has to be spelled."""
+        group = first.astype(np.int64) % GROUPS
+        if not len(self.hashes):
+            return OWN + group, self.escape[group], np.ones(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        known = self.hashes[at] == hashes
+        return np.where(known, self.number[at], OWN + group), np.where(known, self.share[at], self.escape[group]), ~known
 
 
-def count_buckets(docs: DataFrame) -> DataFrame:
-    """``bucket`` and ``n`` over all words of all documents."""
+def _firsts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return lower(data[starts])
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """``hash``, ``n`` and ``first`` (byte) of every word of all documents."""
 
     def rows(batches):
-        total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for _, hashes, _ in word_hashes([(x or "").encode() for x in batch.column("text").to_pylist()]):
-                total += np.bincount((hashes >> np.uint64(64 - 18)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["bucket", "n"])
+        held, size = [], 0
 
-    return map_arrow(docs.select("text"), rows, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        def merged():
+            h, n, first = (np.concatenate(x) for x in zip(*held, strict=True))
+            unique, at, back = np.unique(h, return_index=True, return_inverse=True)
+            return unique, np.bincount(back, n).astype(np.int64), first[at]
 
+        def out(h, n, first):
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(first.astype(np.int32))], ["hash", "n", "first"])
 
-def counted_vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The number of each bucket, how often each number occurs in the corpus, and how often each bucket does."""
-    counted = count_buckets(docs).orderBy(F.col("n").desc(), "bucket").collect()  # BUCKETS rows at most
-    lookup = VOCABULARY - RARE + np.arange(BUCKETS) % RARE
-    held = np.zeros(BUCKETS)
-    for i, r in enumerate(counted):
-        if i < VOCABULARY - RARE:
-            lookup[r.bucket] = i
-        held[r.bucket] = r.n
-    return lookup, np.bincount(lookup, held, VOCABULARY), held
+        for batch in batches:
+            for _, hashes, _, data, starts, _ in word_runs([(x or "").encode() for x in batch.column("text").to_pylist()]):
+                unique, at, n = np.unique(hashes, return_index=True, return_counts=True)
+                held.append((unique, n, _firsts(data, starts[at])))
+                size += len(unique)
+                if size > HELD:
+                    held = [merged()]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield out(*held[0])
+                        held, size = [], 0
+        if held:
+            yield out(*merged())
+
+    found = map_arrow(docs.select("text"), rows, "hash long, n long, first int")
+    return found.groupBy("hash").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def vocabulary(docs: DataFrame, known: int = KNOWN) -> Vocabulary:
+    """Counted over all documents; ``known`` bounds the words with counts of their own."""
+    counted = save(count_words(docs))
+    # A histogram over counts, whole up to 1024 and in 64 steps to the doubling beyond, says from which count on words are known.
+    step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.lit(1024) + F.floor(F.log2(F.col("n") / F.lit(1024)) * 64)).cast("int")
+    above, least = 0, 1 << 30
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        if (above := above + r.words) > known:
+            break
+        least = r.step
+    top = sorted(counted.filter(step >= least).collect(), key=lambda r: (-r.n, r.hash))
+    total = np.zeros(256)
+    for r in counted.groupBy("first").agg(F.sum("n").alias("n")).collect():  # a row for each byte
+        total[r["first"]] = r.n
+    hashes = np.array([r.hash for r in top], np.int64).view(np.uint64)
+    n, group = np.array([r.n for r in top], float), np.array([r["first"] for r in top], np.int64) % GROUPS
+    number = np.where(np.arange(len(top)) < OWN, np.arange(len(top)), OWN + group)
+    counts = np.bincount(number[:OWN], n[:OWN], VOCABULARY)
+    every = np.bincount(np.arange(256) % GROUPS, total, GROUPS)
+    rest = every - np.bincount(group[:OWN], n[:OWN], GROUPS)
+    counts[OWN:] = rest
+    unknown = rest - np.bincount(group[OWN:], n[OWN:], GROUPS)
+    share = np.where(number < OWN, 0.0, np.log(n) - np.log(rest + 0.5)[group])
+    order = np.argsort(hashes)
+    return Vocabulary(hashes[order], number[order], share[order], np.log((unknown + 0.5) / (rest + 0.5)), counts)
+
+
+SPELLED = 256 + 256 * 257
+
+
+def spelling(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The steps of words from byte to byte, 256 at the end, as places in a table; where each word's begin; first bytes."""
+    sizes = ends - starts
+    begin = np.cumsum(sizes) - sizes
+    flat = lower(data[np.repeat(starts - begin, sizes) + np.arange(int(sizes.sum()))]).astype(np.int64)
+    following = np.append(flat[1:], 256)
+    following[begin[1:] - 1] = 256
+    return flat * 257 + following, begin, flat[begin]
+
+
+def spelling_logs(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of first bytes in their group, and of steps from a byte, from counts laid end to end."""
+    first, step = counts[:256] + UNSEEN, counts[256:].reshape(256, 257) + UNSEEN
+    group = np.bincount(np.arange(256) % GROUPS, first, GROUPS)
+    return np.log(first / group[np.arange(256) % GROUPS]), np.log(step / step.sum(1, keepdims=True)).ravel()
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The number of each bucket, and how often each number occurs in the corpus."""
-    return counted_vocabulary(docs)[:2]
+def contexts(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(position, place): the numbers around each word inside its text, VOCABULARY outside."""
+    n, ends = len(ids), np.cumsum(counts)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    out = np.full((n, len(AROUND)), VOCABULARY, np.int64)
+    for p, step in enumerate(AROUND):
+        here, there = (slice(0, max(n - step, 0)), slice(step, None)) if step > 0 else (slice(-step, None), slice(0, max(n + step, 0)))
+        np.copyto(out[here, p], ids[there], where=owner[here] == owner[there])
+    return out
+
 
+COPY = "weight double, vector binary, spelled binary"
 
-def log_shares(lookup: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """The log of each bucket's smoothed share of its number; a number's shares sum to one."""
-    held = held + 0.5
-    return np.log(held / np.bincount(lookup, held, VOCABULARY)[lookup])
 
+def _copy(weight: float, vector: np.ndarray, spelled: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([float(weight)]), pa.array([vector.astype(np.float32).tobytes()], pa.binary()), pa.array([spelled.astype(np.int64).tobytes()], pa.binary())], ["weight", "vector", "spelled"])
 
-def _average(copies: DataFrame) -> np.ndarray | None:
-    """The mean of (weight, vector) rows by weight, in levels of square roots."""
+
+def _average(copies: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """The mean of the copies by weight and the sum of their spellings, in levels of square roots."""
 
     def rows(batches):
-        total, n = None, 0.0
+        total, spelled, n = None, None, 0.0
         for batch in batches:
-            for weight, raw in zip(batch.column("weight").to_pylist(), batch.column("vector").to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.float32).astype(np.float64) * weight
-                total, n = x if total is None else total + x, n + weight
+            for weight, raw, steps in zip(*(batch.column(c).to_pylist() for c in ("weight", "vector", "spelled")), strict=True):
+                x, y = np.frombuffer(raw, np.float32).astype(np.float64) * weight, np.frombuffer(steps, np.int64)
+                total, spelled, n = (x, y.copy(), weight) if total is None else (total + x, spelled + y, n + weight)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.float64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["weight", "vector"])
+            yield _copy(n, total / n, spelled)
 
     some = copies.count()
     for parts in (math.isqrt(some), 1):
         if some > 1:
-            copies = map_arrow(copies.repartition(max(1, parts)), rows, "weight double, vector binary")
+            copies = map_arrow(copies.repartition(max(1, parts)), rows, COPY)
     found = copies.collect()
-    return np.frombuffer(found[0].vector, np.float32) if found else None
+    return (np.frombuffer(found[0].vector, np.float32), np.frombuffer(found[0].spelled, np.int64)) if found else None
+
+
+@dataclass
+class Model:
+    """All that scoring needs."""
+
+    words: Vocabulary
+    network: Network
+    first: np.ndarray
+    step: np.ndarray
+
+    def logs(self, hashes: np.ndarray, sizes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 13) -> np.ndarray:
+        """The log probability of every word of a run given its neighbours."""
+        number, out, spelled = self.words.read(hashes, _firsts(data, starts))
+        around = contexts(number, sizes)
+        for i in range(0, len(number), piece):
+            out[i : i + piece] += self.network.log_probabilities(number[i : i + piece], around[i : i + piece])
+        at = np.flatnonzero(spelled)
+        if len(at):
+            steps, begin, first = spelling(data, starts[at], ends[at])
+            out[at] += self.first[first] + np.add.reduceat(self.step[steps], begin)
+        return out
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = 0.15, seed: int = 13, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, Network]:
-    """The vocabulary's lookup and a network that was trained on the whole corpus; ``known`` is its vocabulary if counted before."""
-    lookup, counts = known or vocabulary(docs)
-    network = Network.fresh(counts, seed)
+def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.15, seed: int = 13, known: int = KNOWN) -> Model:
+    """A model of the whole corpus: its vocabulary, a network trained on all positions, and spellings."""
+    words = vocabulary(docs, known)
+    network, spelled = Network.fresh(words.counts, seed), np.zeros(SPELLED, np.int64)
     for turn in range(rounds):
         start = network.flat()
-        step = rate / (1 + turn)
+        slow = rate / (1 + turn)
 
-        def rows(batches, start=start, step=step):
+        def rows(batches, start=start, slow=slow):
             own = Network.from_flat(start)
             squares = {k: np.full(s, 0.01, np.float32) for k, s in Network.SHAPES.items()}
-            seen, held = 0, []
+            seen, held, size, steps = 0, [], 0, np.zeros(SPELLED, np.int64)
 
             def learn(target, context):
+                nonlocal seen
                 grad, _ = own.gradients(target, context)
                 for k, g in grad.items():
-                    g = g * len(target) ** 0.5
+                    g *= len(target) ** 0.5
                     squares[k] += g * g
-                    own.weights[k] -= step * g / np.sqrt(squares[k])
+                    g /= np.sqrt(squares[k])
+                    g *= slow
+                    own.weights[k] -= g
+                seen += len(target)
 
             for batch in batches:
-                for _, hashes, sizes in word_hashes([(x or "").encode() for x in batch.column("text").to_pylist()]):
-                    ids = numbers(hashes, lookup)
-                    if not len(ids):
+                for _, hashes, sizes, data, starts, ends in word_runs([(x or "").encode() for x in batch.column("text").to_pylist()]):
+                    if not len(hashes):
                         continue
-                    around = contexts(ids, sizes)
-                    begins = np.cumsum(sizes) - sizes
-                    phase = np.add.reduceat((hashes >> np.uint64(40)).astype(np.int64), begins[sizes > 0]) % stride
-                    inside = np.arange(len(ids)) - np.repeat(begins, sizes)
-                    at = np.flatnonzero(inside % stride == np.repeat(phase, sizes[sizes > 0]) % np.minimum(stride, np.repeat(sizes, sizes)))
-                    at = np.random.default_rng(len(ids)).permutation(at)
-                    held.append((ids[at], around[at]))
-                    target, context = (np.concatenate(x) for x in zip(*held, strict=True))
-                    whole = len(target) // BATCH * BATCH
-                    for i in range(0, whole, BATCH):
-                        learn(target[i : i + BATCH], context[i : i + BATCH])
-                    seen += whole
-                    held = [(target[whole:], context[whole:])]
-            if held and len(held[0][0]):
-                learn(*held[0])
-                seen += len(held[0][0])
+                    ids, _, spell = words.read(hashes, _firsts(data, starts))
+                    if spell.any():
+                        step, _, first = spelling(data, starts[spell], ends[spell])
+                        steps[:256] += np.bincount(first, minlength=256)
+                        steps[256:] += np.bincount(step, minlength=256 * 257)
+                    held.append((ids, contexts(ids, sizes)))
+                    size += len(ids)
+                    if size >= BATCH:
+                        target, context = (np.concatenate(x) for x in zip(*held, strict=True))
+                        whole = size // BATCH * BATCH
+                        # Batches of positions from all over what is held, so that one long text doesn't fill one.
+                        parts = whole // BATCH
+                        for k in range(parts):
+                            learn(target[k:whole:parts], context[k:whole:parts])
+                        held, size = [(target[whole:], context[whole:])], size - whole
+            if size:
+                learn(*(np.concatenate(x) for x in zip(*held, strict=True)))
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([float(seen)], pa.float64()), pa.array([own.flat().tobytes()], pa.binary())], ["weight", "vector"])
-
-        mean = _average(save(map_arrow(docs.select("text"), rows, "weight double, vector binary")))
-        network = network if mean is None else Network.from_flat(mean)
-    return lookup, network
+                yield _copy(seen, own.flat(), steps)
 
+        mean = _average(save(map_arrow(docs.select("text"), rows, COPY)))
+        if mean is not None:
+            network, spelled = Network.from_flat(mean[0]), mean[1]
+    return Model(words, network, *spelling_logs(spelled))
 
-def score(docs: DataFrame, lookup: np.ndarray, network: Network, shares: np.ndarray | None = None) -> DataFrame:
-    """``doc_id``, ``n_words``, ``log_likelihood`` (summed) and ``mean`` (for each word).
 
-    With the ``log_shares`` of buckets these are of words, without them of the words' numbers.
-    """
-    weights = network.flat()
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id``, ``n_words``, ``log_likelihood`` (summed over words) and ``mean`` (for each word)."""
 
     def rows(batches):
-        own = Network.from_flat(weights)
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
-            for first, hashes, sizes in word_hashes([(x or "").encode() for x in batch.column("text").to_pylist()]):
-                words = numbers(hashes, lookup)
-                around = contexts(words, sizes)
-                logs = np.zeros(len(words))
-                for i in range(0, len(words), 1 << 15):
-                    logs[i : i + (1 << 15)] = own.log_probabilities(words[i : i + (1 << 15)], around[i : i + (1 << 15)])
-                if shares is not None:
-                    logs += numbers(hashes, shares)
+            for first, hashes, sizes, data, starts, ends in word_runs([(x or "").encode() for x in batch.column("text").to_pylist()]):
+                logs = model.logs(hashes, sizes, data, starts, ends) if len(hashes) else np.zeros(0)
                 sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes))
                 mean = pa.array(np.divide(sums, sizes, out=np.zeros(len(sizes)), where=sizes > 0), pa.float64(), mask=sizes == 0)
                 yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), mean], ["doc_id", "n_words", "log_likelihood", "mean"])
@@ -280,6 +405,5 @@ def score(docs: DataFrame, lookup: np.ndarray, network: Network, shares: np.ndar
 
 
 def score_words(docs: DataFrame) -> DataFrame:
-    """``score`` of every word of the documents, under a network trained on them."""
-    lookup, counts, held = counted_vocabulary(docs)
-    return score(docs, *fit(docs, known=(lookup, counts)), log_shares(lookup, held))
+    """``score`` of every word of the documents, under a model of them."""
+    return score(docs, fit(docs))

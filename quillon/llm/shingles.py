@@ -49,7 +49,8 @@ def _made(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _some(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _some(raw: list[bytes]) -> tuple[np.ndarray, ...]:
+    """All word hashes, words in each text, the bytes, and where each word begins and ends in them."""
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
     sizes = np.array([len(x) + 1 for x in raw], np.int64)
     space = _SPACE[data]
@@ -61,11 +62,17 @@ def _some(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     hashes = (sums[ends] - sums[starts]) * inverse[starts]
     hashes = mix(hashes + (ends - starts).astype(np.uint64) * _COEFFICIENTS[-1])
     bounds = np.searchsorted(starts, np.cumsum(sizes) - sizes)
-    return hashes, np.diff(np.append(bounds, len(starts)))
+    return hashes, np.diff(np.append(bounds, len(starts))), data, starts, ends
 
 
 def word_hashes(raw: list[bytes], step: int = STEP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of texts as (index of the first, all word hashes end to end, words in each text).
+    """Runs of texts as (index of the first, all word hashes end to end, words in each text)."""
+    for at, hashes, counts, *_ in word_runs(raw, step):
+        yield at, hashes, counts
+
+
+def word_runs(raw: list[bytes], step: int = STEP_BYTES) -> Iterator[tuple]:
+    """As ``word_hashes``, with the run's bytes and where each word begins and ends in them.
 
     A run holds about ``step`` bytes, or one text; a longer text is hashed in
     pieces that end where a word does.
@@ -76,7 +83,9 @@ def word_hashes(raw: list[bytes], step: int = STEP_BYTES) -> Iterator[tuple[int,
             if at < i:
                 yield at, *_some(raw[at:i])
             parts = [_some([piece]) for piece in _pieces(x, step)]
-            yield i, np.concatenate([h for h, _ in parts]), np.array([sum(int(n[0]) for _, n in parts)])
+            before = np.cumsum([0] + [len(p[2]) for p in parts[:-1]])
+            places = (np.concatenate([p[k] + n for p, n in zip(parts, before, strict=True)]) for k in (3, 4))
+            yield i, np.concatenate([p[0] for p in parts]), np.array([sum(int(p[1][0]) for p in parts)]), np.concatenate([p[2] for p in parts]), *places
             at, size = i + 1, 0
             continue
         if size and size + len(x) > step:
@@ -98,6 +107,11 @@ def _pieces(x: bytes, step: int) -> Iterator[bytes]:
         at = end
 
 
+def lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return (_LOWER[data] - np.uint64(1)).astype(np.uint8)
+
+
 def shingle_hashes(hashes: np.ndarray, counts: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of each text, end to end with repeats, and how many each has.
 

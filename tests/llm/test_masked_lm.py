@@ -1,8 +1,10 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
 from quillon.llm import masked_lm as L
-from quillon.llm.shingles import word_hashes
+from quillon.llm.shingles import word_hashes, word_runs
 
 
 def brute(net, ids):
@@ -50,61 +52,116 @@ def test_gradients_agree_with_differences():
             assert grad[k][at] == pytest.approx((up - down) / (2 * e), rel=1e-4), k
 
 
+def texts_of(docs):
+    return {r.doc_id: (r.text or "").encode().lower().split() for r in docs.select("doc_id", "text").collect()}
+
+
+def chain(model, word):
+    """The log probability of a spelled word by plain loops."""
+    step = model.step.reshape(256, 257)
+    return model.first[word[0]] + sum(step[a, b] for a, b in zip(word, [*word[1:], 256], strict=True))
+
+
+def test_vocabulary_counts_every_word(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = [w for t in texts_of(docs).values() for w in t]
+    n = Counter(words)
+    v = L.vocabulary(docs, 6000)
+    known = len(v.hashes)
+    assert known == max(sum(k >= least for k in n.values()) for least in range(1, 99) if sum(k >= least for k in n.values()) <= 6000) > L.OWN
+    assert v.counts.sum() == len(words) and (np.diff(v.hashes.astype(object)) > 0).all()
+    hashes = {w: next(word_hashes([w]))[1][0] for w in n}
+    common = sorted(n.values(), reverse=True)[: L.OWN]
+    assert sorted(v.counts[: L.OWN].tolist(), reverse=True) == common
+    ranked = sorted(n, key=lambda w: (-n[w], hashes[w].astype(np.int64)))
+    rest = Counter()
+    for w in ranked[L.OWN :]:
+        rest[w[0] % L.GROUPS] += n[w]
+    number, share, spelled = v.read(np.array([hashes[w] for w in ranked]), np.array([w[0] for w in ranked], np.uint8))
+    assert number[: L.OWN].tolist() == list(range(L.OWN)) and not share[: L.OWN].any() and spelled.tolist() == [False] * known + [True] * (len(n) - known)
+    for i in (L.OWN, (L.OWN + known) // 2, known - 1):
+        g = ranked[i][0] % L.GROUPS
+        assert number[i] == L.OWN + g and share[i] == pytest.approx(np.log(n[ranked[i]] / (rest[g] + 0.5)))
+    for g in set(number[L.OWN :].tolist()):  # the shares of a number and what is left for other words
+        mine = np.flatnonzero((number == g) & ~spelled)
+        assert np.exp(share[mine]).sum() + np.exp(v.escape[g - L.OWN]) == pytest.approx(1, abs=1e-9)
+
+
 def test_the_network_beats_frequencies_and_scores_every_word(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lookup, counts = L.vocabulary(docs)
-    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
-    words = sum(len(t.encode().split()) for t in texts.values())
-    assert counts.sum() == words
-    lookup, net = L.fit(docs)
-    got = {r.doc_id: r for r in L.score(docs, lookup, net).collect()}
+    texts = texts_of(docs)
+    words = sum(map(len, texts.values()))
+    model = L.fit(docs, known=8000)
+    got = {r.doc_id: r for r in L.score(docs, model).collect()}
     assert sum(r.n_words for r in got.values()) == words
-    start = {r.doc_id: r for r in L.score(docs, lookup, L.Network.fresh(counts)).collect()}
-    frequency = counts[counts > 0] / words
-    assert sum(r.log_likelihood for r in got.values()) / words > max((frequency * np.log(frequency)).sum(), sum(r.log_likelihood for r in start.values()) / words)
-    for k in list(texts)[:5]:
-        hashes = next(word_hashes([texts[k].encode()]))[1]
-        assert got[k].log_likelihood == pytest.approx(sum(brute(net, L.numbers(hashes, lookup).tolist())), abs=0.02)
+    start = L.Model(model.words, L.Network.fresh(model.words.counts), model.first, model.step)
+    assert sum(r.log_likelihood for r in got.values()) > sum(r.log_likelihood for r in L.score(docs, start).collect()) + 0.1 * words
+    unseen = 0
+    for k in sorted(texts, key=lambda k: len(texts[k]))[100:106]:
+        hashes = np.array([next(word_hashes([w]))[1][0] for w in texts[k]])
+        number, share, spelled = model.words.read(hashes, np.array([w[0] for w in texts[k]], np.uint8))
+        own = [a + b + (chain(model, w) if c else 0) for a, b, c, w in zip(brute(model.network, number.tolist()), share, spelled, texts[k], strict=True)]
+        unseen += spelled.sum()
+        assert got[k].log_likelihood == pytest.approx(sum(own), abs=0.02)
         assert got[k].mean == pytest.approx(got[k].log_likelihood / got[k].n_words)
+    assert unseen
+
+
+def test_spelled_words_sum_to_one():
+    rng = np.random.default_rng(4)
+    counts = np.zeros(L.SPELLED, np.int64)
+    letters = [97, 98, 161]  # two of one group
+    for _ in range(200):
+        w = rng.choice(letters, rng.integers(1, 5))
+        data = np.append(w, 32).astype(np.uint8)
+        step, _, first = L.spelling(data, np.array([0]), np.array([len(w)]))
+        counts[:256] += np.bincount(first, minlength=256)
+        counts[256:] += np.bincount(step, minlength=256 * 257)
+    first, step = L.spelling_logs(counts)
+    assert np.exp(first[np.arange(256) % L.GROUPS == 97 % L.GROUPS]).sum() == pytest.approx(1)
+    assert np.allclose(np.exp(step).reshape(256, 257).sum(1), 1)
+
+
+def test_every_position_is_a_target(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b c{i} d") for i in range(50)] + [(99, "x y " * 30_000)], "doc_id long, text string").repartition(3)
+    copies = []
+    monkeypatch.setattr(L, "_average", lambda rows: copies.extend(rows.collect()))
+    L.fit(docs)
+    assert sum(r.weight for r in copies) == 50 * 4 + 60_000
+
+
+def test_words_of_one_number_have_their_own_probabilities(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(9000)) + " w3 w3 zebra"), (2, "w8000"), (3, "wzzqx"), (4, "w8999"), (5, "w\x00\x07")], "doc_id long, text string")
+    model = L.fit(docs.filter("doc_id = 1"), known=8990)
+    got = {r.doc_id: r.log_likelihood for r in L.score(docs, model).collect()}
+    assert len({got[k] for k in (2, 3, 4, 5)}) == 4 and max(got[3], got[5]) < min(got[2], got[4])
 
 
 def test_edge_rows(spark):
     rows = [(1, None, 1), (2, "", 2), (3, " \n", 3), (4, "one", 4), (5, "a b " * 60_000, 5), (6, "one", 6), (None, "one", 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, mean int")
-    lookup, net = L.fit(docs, rounds=1)
-    got = {r.doc_id: r for r in L.score(docs, lookup, net).collect()}
+    model = L.fit(docs)
+    got = {r.doc_id: r for r in L.score(docs, model).collect()}
     assert [got[k].n_words for k in (1, 2, 3, 4, 5)] == [0, 0, 0, 1, 120_000] and got[1].mean is None and got[2].log_likelihood == 0
     assert got[4].log_likelihood == got[6].log_likelihood == got[None].log_likelihood < 0
     empty = docs.limit(0)
-    assert L.score(empty, *L.fit(empty, rounds=1)).count() == 0
+    assert L.score(empty, L.fit(empty)).count() == 0
+    assert all(np.isfinite(r.log_likelihood) for r in L.score(docs, L.fit(empty)).collect())
 
 
-def test_words_of_one_number_have_their_own_probabilities(spark):
-    rng = np.random.default_rng(3)
-    text = " ".join(f"w{i}" for i in rng.permutation(np.repeat(np.arange(3000), np.where(np.arange(3000) < 1000, 8, 2))))
-    docs = spark.createDataFrame([(1, text), (2, "w2000"), (3, "zzqx")], "doc_id long, text string")
-    lookup, counts, held = L.counted_vocabulary(docs)
-    shares = L.log_shares(lookup, held)
-    assert np.allclose(np.bincount(lookup, np.exp(shares), L.VOCABULARY)[np.unique(lookup)], 1)
-    own = np.flatnonzero(lookup < L.VOCABULARY - L.RARE)
-    assert np.allclose(shares[own], 0)
-    hashes = np.concatenate([next(word_hashes([x.encode()]))[1] for x in ("w2000", "never1")])
-    net = L.Network.fresh(counts)
-    rows = spark.createDataFrame([(1, "w2000"), (2, "never1")], "doc_id long, text string")
-    plain = {r.doc_id: r.log_likelihood for r in L.score(rows, lookup, net).collect()}
-    got = {r.doc_id: r.log_likelihood for r in L.score(rows, lookup, net, shares).collect()}
-    for k, h in ((1, hashes[:1]), (2, hashes[1:])):
-        bucket = int(h[0] >> np.uint64(46))
-        same = lookup == lookup[bucket]
-        assert got[k] - plain[k] == pytest.approx(np.log((held[bucket] + 0.5) / (held[same].sum() + same.sum() / 2)))
-    assert got[2] < got[1]
+def test_runs_give_the_bytes_of_words():
+    for step in (1, 20, 1 << 20):
+        found = []
+        for _, hashes, counts, data, starts, ends in word_runs([b"Ab  c", b"", b"one two three  four " * 3, b" "], step):
+            assert len(hashes) == counts.sum() == len(starts)
+            found += [bytes(L.lower(data[a:b])) for a, b in zip(starts, ends, strict=True)]
+        assert found == [b"ab", b"c"] + [b"one", b"two", b"three", b"four"] * 3
 
 
 def test_query_scores_words(spark, sf_dir):
     from quillon.llm.queries import op9_masked_scores
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lookup, counts, held = L.counted_vocabulary(docs)
-    whole = sum(r.log_likelihood for r in op9_masked_scores(spark, sf_dir).collect())
-    bound = (held[held > 0] * L.log_shares(lookup, held)[held > 0]).sum()  # the shares' part; the numbers' is below 0
-    assert bound < -1 and whole < bound
+    got = {r.doc_id: r for r in op9_masked_scores(spark, sf_dir).collect()}
+    assert {k: r.n_words for k, r in got.items()} == {k: len(t) for k, t in texts_of(docs).items()}
+    assert all(r.log_likelihood < 0 for r in got.values() if r.n_words)
