@@ -27,26 +27,49 @@ _own: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local session, as in tests) a temporary folder
-    takes its place, and goes when the process ends.
+    Only in a local session without that setting, as in tests, a temporary folder
+    takes its place, and goes when the process ends. On a cluster that is an error.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="quillon-"))
         atexit.register(shutil.rmtree, _own[0], True)
     return _own[0]
 
 
+def _home(spark: SparkSession):
+    """The application's own folder for saved tables, with its file system; it goes when the application ends."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillon/{spark.sparkContext.applicationId}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return path, files
+
+
 def save(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back, which cuts the lineage for good."""
+    """Write to the shared folder and read back, which cuts the lineage for good.
+
+    What is saved stays as long as the application, or until ``release``.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon/{uuid.uuid4().hex}"
+    home, files = _home(spark)
+    if not files.exists(home):
+        files.mkdirs(home)
+        files.deleteOnExit(home)
+    path = f"{home.toString()}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all that this application has saved; results that weren't written yet can't be read after that."""
+    home, files = _home(spark)
+    files.delete(home, True)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """A checkpoint in the shared folder: the rows keep their partitions and their order."""
     context = df.sparkSession.sparkContext
@@ -58,7 +81,8 @@ def pin(df: DataFrame) -> DataFrame:
 def map_arrow(df: DataFrame, rows, schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` for a generator of record batches over an iterator of them.
 
-    Unless the session sets another size, its batches are cut to ``BATCH_BYTES``.
+    Unless the session sets another size, its batches are cut to ``BATCH_BYTES``,
+    from then on for the whole session: Spark reads the setting when a plan runs.
     Workers live on between stages, so each task gives back what it no longer uses.
     """
     conf = df.sparkSession.conf
