@@ -7,8 +7,8 @@ least of them. Edges end as stars around each component's smallest node, and the
 rounds stop when no node has two parents or is parent and child at once. Before
 the first round each task contracts what it holds by union-find, which changes
 no component. Both steps of a round are written to the shared folder, so a lost
-executor costs no more than one step. Joins on a hub's node are left to the
-adaptive splitting of skewed joins; sums before the exchange keep its minima small.
+executor costs no more than one step. A hub's minima are taken before the
+exchange, and its joins can be split like any skewed join.
 
 Cases. Self-links and repeated links do nothing. An empty input gives no rows.
 Nodes are longs; null ends are not allowed (callers drop them).
@@ -67,28 +67,28 @@ def contract(edges: DataFrame, flush: int = 1 << 20) -> DataFrame:
     return map_arrow(edges, rows, EDGE)
 
 
-def _parents(edges: DataFrame) -> DataFrame:
-    """``node`` and ``low``, the least node that points to it."""
-    return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low"))
+def _open(edges: DataFrame) -> DataFrame:
+    """Nodes that keep the edges from being stars: children of several, or parent and child at once.
 
-
-def _settled(edges: DataFrame) -> bool:
-    """Whether the edges are stars: every node has one parent, and no parent has one."""
+    ``low`` is a node's least parent, ``parent`` whether it is one itself.
+    """
     ends = F.explode(F.array(F.struct(F.col("b").alias("node"), F.col("a").alias("parent")), F.struct(F.col("a").alias("node"), F.lit(None).cast("long").alias("parent"))))
     nodes = edges.select(ends.alias("e")).groupBy("e.node").agg(F.min("e.parent").alias("low"), F.max("e.parent").alias("high"), F.max(F.col("e.parent").isNull()).alias("parent"))
-    return nodes.filter((F.col("low") != F.col("high")) | (F.col("low").isNotNull() & F.col("parent"))).isEmpty()
+    return nodes.filter((F.col("low") != F.col("high")) | (F.col("low").isNotNull() & F.col("parent"))).select("node", "low", "parent")
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of every node that has a link."""
     # Saved, as what a task contracts to depends on the order in which its rows arrive.
     edges = save(contract(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b")))
-    while not _settled(edges):
-        low = _parents(edges)
-        large = edges.join(low, F.col("a") == F.col("node"), "left").select(F.coalesce("low", "a").alias("a"), "b")
-        large = save(large)
-        low = _parents(large)
-        small = large.join(low, F.col("b") == F.col("node")).select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("a").alias("b")), F.struct(F.col("low").alias("a"), F.col("b").alias("b")))).alias("e"))
+    # Only nodes that a step moves are joined with the edges. They are saved, since joins are split
+    # where a key is hot only if both sides come straight from an exchange.
+    while not (state := save(_open(edges))).isEmpty():
+        moved = state.filter("parent").select("node", "low")
+        large = save(edges.join(moved, F.col("a") == F.col("node"), "left").select(F.coalesce("low", "a").alias("a"), "b"))
+        shared = save(large.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low < high").select("node", "low"))
+        edge = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+        small = large.join(shared, F.col("b") == F.col("node"), "left").select(F.explode(F.when(F.col("low").isNull(), F.array(edge("a", "b"))).otherwise(F.array(edge("low", "a"), edge("low", "b")))).alias("e"))
         edges = save(small.select("e.*").filter("a <> b").distinct())
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    return _parents(edges).withColumnRenamed("low", "component").unionByName(roots)
+    return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).unionByName(roots)

@@ -296,7 +296,7 @@ def link(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE) -> DataF
     every = map_arrow(blocks.select("ids", "low", "counts", "label", "dim", "vectors"), nodes, "node long, low long, n long, label string, vector binary")
     every = every.join(known, "node", "left")
     every = save(every.select("low", "label", "vector", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
-    names = every.groupBy("component").agg(F.min("low").alias("component_id"))
+    names = save(every.groupBy("component").agg(F.min("low").alias("component_id")))
     every = every.join(names, "component").select(F.col("label").alias("of_label"), F.col("vector").alias("of_vector"), "n_links", "component_id")
     members = coded.join(every, (F.col("label") == F.col("of_label")) & (F.col("vector") == F.col("of_vector")))
     members = members.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))

@@ -81,6 +81,44 @@ def test_components_equal_brute_force(spark, longest, documents):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows)
 
 
+@pytest.mark.parametrize("percent", [30, 60, 95])
+def test_other_thresholds_equal_brute_force(spark, percent):
+    rows = corpus(percent, 8, 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = M.link(docs, percent=percent, longest=10, tile_documents=7).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in got) == brute(rows, percent)
+
+
+def test_matches_follow_the_threshold():
+    assert M.matches_of(85) == 38 and M.matches_of(100) == M.COORDINATES and M.matches_of(30) > 0
+    with pytest.raises(ValueError):
+        M.matches_of(10)
+
+
+def test_recall_at_the_threshold():
+    """Pairs of sets of exactly 85 percent: all of 20,000 agree in as many coordinates as are asked for."""
+    rng = np.random.default_rng(8)
+    pairs, common, apart = 20_000, 17, 3
+    values = rng.integers(0, 1 << 63, (pairs, common + apart), dtype=np.uint64)
+    first = M.signatures(np.sort(values[:, : common + 1], 1).ravel(), np.full(pairs, common + 1))
+    second = M.signatures(np.sort(np.delete(values, common, 1), 1).ravel(), np.full(pairs, common + apart - 1))
+    agree = (first == second).sum(1)
+    assert abs(agree.mean() / M.COORDINATES - 0.85) < 0.01 and (agree >= M.matches_of(85)).all()
+
+
+def test_large_clusters_need_no_pairs_of_all_tiles(spark):
+    """What isn't of the commonest label meets all others, the commonest never itself."""
+    rows = [(7, i, 0 if i < 50 else i, 1) for i in range(53)] + [(8, 100 + i, 1, 1) for i in range(20)]
+    tiles = lambda n, _: M.F.ceil(n / M.F.lit(10))
+    met = M.rest_pairs(spark.createDataFrame(rows, "key long, node long, label long, weight long"), "key", tiles).collect()
+    pairs = {}
+    for r in met:
+        pairs.setdefault((r.key, r.tile_a, r.tile_b), {0: [], 1: []})[int(r.tile != r.tile_a)].append(r)
+    assert {k[0] for k in pairs} == {7} and len(met) == 50 + 3 * 6
+    meet = {frozenset((a.node, b.node)) for (_, x, y), p in pairs.items() for a in p[0] for b in (p[0] if x == y else p[1]) if a.label != b.label}
+    assert meet == {frozenset((i, j)) for i in range(50, 53) for j in range(53) if i != j}
+
+
 def test_empty_table_and_keeping_one(spark):
     rows = corpus(3, 4, 6)[: 4 * 6]
     docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, gone_id string")
