@@ -551,3 +551,300 @@ def array_dims(a) -> Column:
 
 def array_to_string(a, delimiter: str, null: str | None = None) -> Column:
     return F.array_join(_c(a).cast("array<string>"), delimiter) if null is None else F.array_join(_c(a).cast("array<string>"), delimiter, null)
+
+
+# Numbers with a domain or a format
+
+
+def _domain(x, wrong, of) -> Column:
+    x = _c(x).cast("double")
+    return F.when(wrong(x), F.raise_error(F.lit("input is out of range"))).otherwise(of(x))
+
+
+def acos(x) -> Column:
+    """As acos; outside -1 to 1 it is an error."""
+    return _domain(x, lambda v: F.abs(v) > 1, F.acos)
+
+
+def acosh(x) -> Column:
+    """As acosh; below 1 it is an error."""
+    return _domain(x, lambda v: v < 1, F.acosh)
+
+
+def atanh(x) -> Column:
+    """As atanh; outside -1 to 1 it is an error."""
+    return _domain(x, lambda v: F.abs(v) > 1, F.atanh)
+
+
+def power(x, y) -> Column:
+    """A negative base with a fraction as exponent, and zero with a negative one, are errors."""
+    a, b = _c(x).cast("double"), _c(y).cast("double")
+    wrong = ((a < 0) & (b != F.floor(b))) | ((a == 0) & (b < 0))
+    return F.when(wrong, F.raise_error(F.lit("a result of this power is undefined"))).otherwise(F.pow(a, b))
+
+
+def factorial(n) -> Column:
+    """Exact up to 33, as a 38-digit number holds it; a negative argument is an error."""
+    n = _c(n).cast("int")
+    one = F.lit(1).cast("decimal(38,0)")
+    product = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one, lambda a, i: (a * i.cast("decimal(20,0)")).cast("decimal(38,0)"))
+    return F.when(n < 0, F.raise_error(F.lit("factorial of a negative number is undefined"))).otherwise(product)
+
+
+def to_number(s, pattern: str) -> Column:
+    """9 and 0 are digits, . or D the point, , or G group marks; S, MI and PR mean signs; other marks are skipped."""
+    s = _c(s)
+    digits = F.regexp_replace(s, "[^0-9.]", "")
+    fraction = pattern.upper().replace("D", ".").partition(".")[2].count("9") + pattern.upper().replace("D", ".").partition(".")[2].count("0")
+    minus = F.contains(s, F.lit("-")) | (F.lit("PR" in pattern.upper()) & F.contains(s, F.lit("<")))
+    value = digits.cast(f"decimal(38,{fraction})")
+    return F.when(minus, -value).otherwise(value)
+
+
+def setseed(seed: float) -> int:
+    """The seed that ``random`` takes; one number between -1 and 1 always gives the same rows the same numbers."""
+    if not -1 <= seed <= 1:
+        raise ValueError("setseed parameter is out of allowed range [-1,1]")
+    return int((seed + 1) * (1 << 52))
+
+
+def random(seed: int | None = None) -> Column:
+    return F.rand() if seed is None else F.rand(seed)
+
+
+# More text
+
+
+def btrim(s, marks: str = " ") -> Column:
+    """Without any of the marks at both ends."""
+    return F.btrim(_c(s), F.lit(marks))
+
+
+def ltrim(s, marks: str = " ") -> Column:
+    return F.ltrim(_c(s), F.lit(marks))
+
+
+def rtrim(s, marks: str = " ") -> Column:
+    return F.rtrim(_c(s), F.lit(marks))
+
+
+def strpos(s, part) -> Column:
+    """From 1; 0 where the part isn't there. ``position`` has its arguments the other way round."""
+    return F.locate(part, _c(s)) if isinstance(part, str) else F.instr(_c(s), part)
+
+
+def position(part: str, s) -> Column:
+    return strpos(s, part)
+
+
+def overlay(s, new: str, start: int, count: int | None = None) -> Column:
+    return F.overlay(_c(s), F.lit(new), F.lit(start), F.lit(len(new) if count is None else count))
+
+
+def casefold(s) -> Column:
+    """Full case folding: sharp s and the like become what their capitals do."""
+    return F.lower(F.replace(F.upper(_c(s)), F.lit("\u1e9e"), F.lit("SS")))
+
+
+#: Letters of Latin-1 with marks, and without.
+_MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+_BARE = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def to_ascii(s) -> Column:
+    """Latin letters without their marks."""
+    return F.translate(_c(s), _MARKED, _BARE)
+
+
+#: Encodings by their names there and in Java.
+_ENCODINGS = {"UTF8": "UTF-8", "LATIN1": "ISO-8859-1", "SQL_ASCII": "US-ASCII", "UTF16": "UTF-16"}
+
+
+def convert_to(s, encoding: str) -> Column:
+    """Text as bytes of an encoding."""
+    return F.encode(_c(s), _ENCODINGS[encoding.upper()])
+
+
+def convert_from(raw, encoding: str) -> Column:
+    """Bytes of an encoding as text."""
+    return F.decode(_c(raw), _ENCODINGS[encoding.upper()])
+
+
+def convert(raw, source: str, target: str) -> Column:
+    """Bytes of one encoding as bytes of another."""
+    return convert_to(convert_from(raw, source), target)
+
+
+def client_encoding() -> Column:
+    return F.lit("UTF8")
+
+
+def version() -> Column:
+    return F.concat(F.lit("Spark "), F.split_part(F.version(), F.lit(" "), F.lit(1)))
+
+
+def gen_random_uuid() -> Column:
+    """A random version-4 UUID as text."""
+    return F.uuid()
+
+
+def string_to_table(s, delimiter: str | None, null: str | None = None) -> Column:
+    """The parts as rows."""
+    return F.explode(string_to_array(s, delimiter, null))
+
+
+def regexp_like(s, pattern: str, options: str = "") -> Column:
+    return matches(s, pattern, options)
+
+
+def regexp_instr(s, pattern: str, start: int = 1, nth: int = 1, end: bool = False, options: str = "") -> Column:
+    """Where the nth match begins, or the place after it; 0 without one. Places count from 1."""
+    java = flags(pattern, options)
+    rest = F.substring(_c(s), start, 1 << 30)
+    found = F.regexp_extract_all(rest, F.lit(java), F.lit(0))
+    before = F.slice(F.split(rest, java, -1), 1, nth)
+    whole = lambda parts: F.aggregate(F.transform(parts, F.length), F.lit(0), lambda a, b: a + b)
+    place = F.lit(start) + whole(before) + (whole(F.slice(found, 1, nth - 1)) if nth > 1 else F.lit(0))
+    width = F.length(F.get(found, F.lit(nth - 1))) if end else F.lit(0)
+    return F.when(F.size(found) >= nth, place + width).otherwise(0)
+
+
+def regexp_substr(s, pattern: str, start: int = 1, nth: int = 1, options: str = "") -> Column:
+    """The nth match from a place on, or null."""
+    return F.get(F.regexp_extract_all(F.substring(_c(s), start, 1 << 30), F.lit(flags(pattern, options)), F.lit(0)), F.lit(nth - 1))
+
+
+def ascending(using: str) -> bool:
+    """ORDER BY ... USING < or >: the direction that operator means."""
+    return {"<": True, "<=": True, ">": False, ">=": False}[using]
+
+
+def collate(s, name: str) -> Column:
+    """``C`` and ``POSIX`` compare bytes; other names are ICU locales, with _CI or _AI as Spark writes them."""
+    return F.collate(_c(s), {"C": "UTF8_BINARY", "POSIX": "UTF8_BINARY", "ucs_basic": "UTF8_BINARY", "und-x-icu": "UNICODE"}.get(name, name))
+
+
+# Clocks and makers of times
+
+
+def clock_timestamp() -> Column:
+    return F.current_timestamp()
+
+
+def statement_timestamp() -> Column:
+    return F.current_timestamp()
+
+
+def transaction_timestamp() -> Column:
+    """The same in a whole query, as Spark fixes it when the query is planned."""
+    return F.current_timestamp()
+
+
+def timeofday() -> Column:
+    return F.date_format(F.current_timestamp(), "EEE MMM dd HH:mm:ss.SSSSSS yyyy VV")
+
+
+def localtime() -> Column:
+    """The time of day as text."""
+    return F.date_format(F.current_timestamp(), "HH:mm:ss.SSSSSS")
+
+
+def isfinite(ts) -> Column:
+    """Dates and timestamps are always finite here; null stays null."""
+    return F.when(_c(ts).isNotNull(), True)
+
+
+def make_date(y, m, d) -> Column:
+    """Negative years are BC; a day that doesn't exist is an error."""
+    y = _c(y)
+    return F.make_date(F.when(y < 0, y + 1).otherwise(y), _c(m), _c(d))
+
+
+def make_time(h, m, s) -> Column:
+    """The time of day as text; a field out of range is an error."""
+    h, m, s = _c(h), _c(m), _c(s).cast("decimal(8,6)")
+    good = h.between(0, 23) & m.between(0, 59) & (s >= 0) & (s < 60)
+    shown = F.concat_ws(":", F.lpad(h.cast("string"), 2, "0"), F.lpad(m.cast("string"), 2, "0"), F.concat(F.lpad(F.floor(s).cast("string"), 2, "0"), F.regexp_replace(F.regexp_extract(s.cast("string"), r"(\.[0-9]+)$", 1), r"\.?0+$", "")))
+    return F.when(good, shown).otherwise(F.raise_error(F.lit("time field value out of range")))
+
+
+def make_timestamp(y, mo, d, h, mi, s) -> Column:
+    return F.make_timestamp_ntz(_c(y), _c(mo), _c(d), _c(h), _c(mi), _c(s))
+
+
+def make_timestamptz(y, mo, d, h, mi, s, zone: str | None = None) -> Column:
+    """A moment: the wall time there, or in the session's zone."""
+    made = make_timestamp(y, mo, d, h, mi, s)
+    return made.cast("timestamp") if zone is None else F.to_utc_timestamp(made, zone)
+
+
+def make_interval(years=0, months=0, weeks=0, days=0, hours=0, mins=0, secs=0) -> Column:
+    parts = [F.lit(x) if isinstance(x, (int, float)) else _c(x) for x in (years, months, weeks, days, hours, mins, secs)]
+    return F.make_interval(*parts)
+
+
+def to_timestamp(x, pattern: str | None = None) -> Column:
+    """Seconds since 1970 as a moment, or text by a pattern."""
+    return F.timestamp_micros((_c(x) * 1_000_000).cast("bigint")) if pattern is None else F.to_timestamp(_c(x), datetime_pattern(pattern))
+
+
+# More arrays
+
+
+def array_cat(a, b) -> Column:
+    """Null counts as empty, unless both are."""
+    a, b = _c(a), _c(b)
+    return F.coalesce(F.concat(a, b), a, b)
+
+
+def array_prepend(x, a) -> Column:
+    x = _c(x)
+    return F.coalesce(F.array_prepend(_c(a), x), F.array(x))
+
+
+def array_remove(a, x) -> Column:
+    """All elements that equal x; null finds nulls."""
+    x = _c(x) if not isinstance(x, (int, float, str)) else F.lit(x)
+    return F.filter(_c(a), lambda v: ~v.eqNullSafe(x))
+
+
+def array_lower(a, dimension: int = 1) -> Column:
+    return F.when((array_ndims(a) >= dimension), 1)
+
+
+def array_upper(a, dimension: int = 1) -> Column:
+    """The last place of a dimension; null where there is none."""
+    a = _c(a)
+    for _ in range(dimension - 1):
+        a = F.get(a, F.lit(0))
+    return F.when(F.size(a) > 0, F.size(a))
+
+
+def array_ndims(a, dimensions: int = 1) -> Column:
+    """How deep the type nests, null for an empty array; the caller says it, as a column's type isn't known here."""
+    return F.when(F.size(_c(a)) > 0, dimensions)
+
+
+def cardinality(a, dimensions: int = 1) -> Column:
+    """All elements of all dimensions; 0 for an empty array, null for null."""
+    a = _c(a)
+    for _ in range(dimensions - 1):
+        a = F.flatten(a)
+    return F.when(a.isNotNull(), F.size(a))
+
+
+def array_shuffle(a) -> Column:
+    return F.shuffle(_c(a))
+
+
+def array_sample(a, n: int) -> Column:
+    """n elements in random order; more than there are is an error."""
+    a = _c(a)
+    return F.when(F.size(a) < n, F.raise_error(F.lit("sample size must be between 0 and the number of elements"))).otherwise(F.slice(F.shuffle(a), 1, n))
+
+
+def enum_range(labels: list[str], first: str | None = None, last: str | None = None) -> Column:
+    """The labels of an enumeration in order, all or from one to another; its columns are text."""
+    low = labels.index(first) if first is not None else 0
+    high = labels.index(last) if last is not None else len(labels) - 1
+    return F.array(*map(F.lit, labels[low : high + 1])) if low <= high else F.array().cast("array<string>")
