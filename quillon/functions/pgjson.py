@@ -336,6 +336,90 @@ def json_query(j, path: str, wrapper: bool = False) -> Column:
     return _mapped(j, one)
 
 
+# Records and constructors
+
+
+def json_object(*pairs, absent_on_null: bool = False) -> Column:
+    """json_object of keys and values in turn, or of one array of them; the values are text."""
+    if len(pairs) == 1:
+        flat = _c(pairs[0])
+        half = F.sequence(F.lit(0), (F.size(flat) / 2).cast("int") - 1)
+        entries = F.when(F.size(flat) > 0, F.transform(half, lambda i: F.struct(F.get(flat, i * 2).alias("k"), F.get(flat, i * 2 + 1).alias("v")))).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
+    else:
+        entries = F.array(*(F.struct(_c(k).alias("k"), _c(v).cast("string").alias("v")) for k, v in zip(pairs[::2], pairs[1::2], strict=True)))
+    if absent_on_null:
+        entries = F.filter(entries, lambda e: e["v"].isNotNull())
+    return F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"})
+
+
+def row_to_json(*columns) -> Column:
+    """row_to_json, to_json and to_jsonb of a row."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def to_jsonb(x) -> Column:
+    """to_json and to_jsonb of one value; null stays null."""
+    c = _c(x)
+    return F.when(c.isNotNull(), F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r'^\{"v":([\s\S]*)\}$', "$1"))
+
+
+def scalar(x) -> Column:
+    """json_scalar"""
+    return to_jsonb(x)
+
+
+def parse(s) -> Column:
+    """json(): the text if it is JSON; anything else is an error."""
+    c = _c(s)
+    return F.when(F.parse_json(c).isNotNull(), c)
+
+
+def serialize(j, kind: str = "string") -> Column:
+    """json_serialize, as text or as UTF-8 bytes."""
+    return parse(j) if kind == "string" else F.encode(parse(j), "UTF-8")
+
+
+def to_record(j, schema: str) -> Column:
+    """json_to_record and jsonb_to_record: a struct of declared fields; absent ones are null."""
+    return F.from_json(_c(j), schema)
+
+
+def to_recordset(j, schema: str) -> Column:
+    """json_to_recordset and jsonb_to_recordset: a row for each element, as a struct."""
+    return F.explode(F.from_json(_c(j), F.lit(f"array<struct<{schema}>>")))
+
+
+def _filled(base: Column, found: Column, given: Column, names: list[str]) -> Column:
+    return F.struct(*(F.when(F.array_contains(given, n), found[n]).otherwise(base[n]).alias(n) for n in names))
+
+
+def populate_record(base: Column, j, schema: str) -> Column:
+    """json_populate_record and jsonb_populate_record: members of the object, else the base row's fields."""
+    names = [part.strip().split()[0].split(":")[0] for part in schema.split(",")]
+    return _filled(base, F.from_json(_c(j), schema), F.coalesce(F.json_object_keys(_c(j)), F.array().cast("array<string>")), names)
+
+
+def populate_recordset(base: Column, j, schema: str) -> Column:
+    """json_populate_recordset and jsonb_populate_recordset: the same for each element of an array, as rows."""
+    names = [part.strip().split()[0].split(":")[0] for part in schema.split(",")]
+    items = F.zip_with(F.from_json(_c(j), f"array<struct<{schema}>>"), F.from_json(_c(j), "array<map<string,string>>"), lambda r, m: F.struct(r.alias("r"), m.alias("m")))
+    return F.explode(F.transform(items, lambda x: _filled(base, x["r"], F.map_keys(x["m"]), names)))
+
+
+def set_lax(j, path: list, value: str | None, create: bool = True, null_treatment: str = "use_json_null") -> Column:
+    """jsonb_set_lax: what a null value means is chosen."""
+    if value is not None:
+        return set_(j, path, value, create)
+    if null_treatment == "raise_exception":
+        raise ValueError("JSON value must not be null")
+    return {"use_json_null": lambda: set_(j, path, "null", create), "delete_key": lambda: delete_path(j, path), "return_target": lambda: _c(j)}[null_treatment]()
+
+
+#: Paths hold no times here, so the forms that know time zones are the same functions.
+path_exists_tz, path_match_tz, path_query_tz = path_exists, path_match, path_query_array
+path_query_array_tz, path_query_first_tz = path_query_array, path_query_first
+
+
 def json_table(df, j: str, rows: str, columns: dict[str, tuple[str, str]]):
     """JSON_TABLE: a row for each item at ``rows``, with columns name: (type, path); ``ordinality`` counts from 1."""
     items = df.select(*df.columns, F.posexplode(F.from_json(path_query_array(j, rows), "array<string>")).alias("__at", "__item"))
