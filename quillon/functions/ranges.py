@@ -28,6 +28,14 @@ def isempty(r: Column) -> Column:
     return r["empty"]
 
 
+def lower_inc(r: Column) -> Column:
+    return r["lower_inc"]
+
+
+def upper_inc(r: Column) -> Column:
+    return r["upper_inc"]
+
+
 def lower_inf(r: Column) -> Column:
     return ~r["empty"] & r["lower"].isNull()
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.operators.recursive import closure, fixpoint
+from quillon.operators.recursive import closure, fixpoint, pin
 
 MOST_CHANGES = 100_000
 
@@ -48,6 +48,55 @@ def dependents_of(edges: DataFrame, starts: DataFrame, runtime: bool = False) ->
     return fixpoint(first, step).join(starts.select("node"), "node", "left_anti")
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) without nodes that nothing leads to or that lead nowhere, which are on no cycle."""
+    n = edges.count()
+    while n:
+        inner = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
+        edges = pin(edges.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"))
+        left = edges.count()
+        if left == n:
+            break
+        n = left
+    return edges
+
+
+def _colours(edges: DataFrame) -> DataFrame:
+    """For each node the smallest node that leads to it (``colour``), itself included."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    colours = pin(nodes.withColumn("colour", F.col("node")))
+    while True:
+        told = edges.join(colours, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("to")).agg(F.min("colour").alias("told"))
+        grown = pin(colours.join(told, F.col("node") == F.col("to"), "left").select("node", F.least("colour", F.coalesce("told", "colour")).alias("colour"), (F.coalesce("told", "colour") < F.col("colour")).alias("new")))
+        colours = grown.select("node", "colour")
+        if not grown.filter("new").limit(1).count():
+            return colours
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Strongly connected components (node, component) of at least two nodes over edges (src, dst).
+
+    In rounds: what is on no cycle is trimmed away; every node takes the smallest
+    node that leads to it as its colour; what leads back to a colour's own node
+    inside the colour is that node's component, which leaves. No round holds more
+    than the edges and one row for each node.
+    """
+    left = _trimmed(pin(edges.filter("src <> dst").select("src", "dst").distinct()))
+    found = None
+    while not left.isEmpty():
+        colours = _colours(left)
+        ends = left.join(colours.select(F.col("node").alias("src"), F.col("colour").alias("c1")), "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("c2")), "dst")
+        inside = pin(ends.filter("c1 = c2").select("src", "dst", F.col("c1").alias("colour")))
+        roots = inside.select(F.col("colour").alias("node"), "colour").distinct()
+        back = fixpoint(roots, lambda f, e=inside: f.join(e.withColumnRenamed("colour", "c"), (F.col("node") == F.col("dst")) & (F.col("colour") == F.col("c"))).select(F.col("src").alias("node"), "colour"))
+        sizes = back.groupBy("colour").agg(F.count("*").alias("n"))
+        now = back.join(sizes.filter("n > 1"), "colour").select("node", F.col("colour").alias("component"))
+        found = now if found is None else found.unionByName(now)
+        gone = back.select(F.col("node").alias("gone"))
+        left = _trimmed(pin(left.join(gone, F.col("src") == F.col("gone"), "left_anti").join(gone, F.col("dst") == F.col("gone"), "left_anti")))
+    return found if found is not None else edges.limit(0).select(F.col("src").alias("node"), F.col("src").alias("component"))
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """Strongly connected components of at least two nodes over hard and soft edges.
 
@@ -55,10 +104,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     inside, else warning.
     """
     solid = edges.filter("kind <> 'runtime'")
-    reach = closure(solid)
-    back = reach.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    both = reach.join(back, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b"))).select("src", "dst").filter("src <> dst")
-    members = both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("component"))
+    members = components(solid)
     inside = solid.join(members.select(F.col("node").alias("src"), F.col("component").alias("c1")), "src").join(members.select(F.col("node").alias("dst"), F.col("component").alias("c2")), "dst").filter("c1 = c2")
     hard = inside.groupBy(F.col("c1").alias("component")).agg(F.max(F.when(F.col("kind") == "hard", 1).otherwise(0)).alias("hard"))
     return members.join(hard, "component").select("node", "component", F.when(F.col("hard") == 1, "error").otherwise("warning").alias("severity"))
@@ -87,8 +133,10 @@ def loop(members: Iterable[str], edges: Iterable[tuple[str, str]]) -> list[str]:
 
 
 def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Longest distance of each node (key) of an acyclic graph from one that depends on nothing."""
+    """Longest distance of each node (key) of an acyclic graph from one that depends on nothing; cycles are an error."""
     solid = edges.filter("kind <> 'runtime'").select("src", "dst")
+    if not _trimmed(pin(solid.distinct())).isEmpty():
+        raise ValueError("the graph has cycles")
     placed = nodes.select(F.col("key").alias("node"), F.lit(0).alias("level"))
     grown = fixpoint(placed, lambda f: f.join(solid, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), (F.col("level") + 1).alias("level")))
     return grown.groupBy("node").agg(F.max("level").alias("level"))

@@ -6,28 +6,19 @@ checkpoint folder each round, so the lineage doesn't grow.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: list[str] = []
+from quillon.sources.scratch import shared_folder
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir, or a temporary one where it is unset."""
+    """A reliable checkpoint in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not _own:
-                _own.append(tempfile.mkdtemp(prefix="quillon-"))
-                atexit.register(shutil.rmtree, _own[0], True)
-            base = _own[0]
-        spark.sparkContext.setCheckpointDir(base)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

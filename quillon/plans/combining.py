@@ -15,7 +15,7 @@ plans.sql("q_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nat
 plans.sql("q_union_all", "SELECT c_nationkey AS k FROM {customer} WHERE c_acctbal < 0 UNION ALL SELECT s_nationkey FROM {supplier}")
 plans.sql("q_intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}")
 plans.sql("q_intersect_all", "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}")
-plans.sql("q_except", "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_quantity > 30")
+plans.sql("q_except", "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey FROM {lineitem} WHERE l_quantity > 49")
 plans.sql("q_except_all", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}")
 plans.sql("q_set_precedence", "SELECT n_nationkey AS k FROM {nation} WHERE n_nationkey < 5 UNION SELECT n_nationkey FROM {nation} WHERE n_nationkey > 10 INTERSECT SELECT n_regionkey + 11 FROM {nation}")
 plans.sql("q_set_order_limit", "(SELECT n_nationkey AS k FROM {nation} UNION ALL SELECT r_regionkey FROM {region}) ORDER BY k DESC LIMIT 4")

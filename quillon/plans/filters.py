@@ -17,7 +17,7 @@ plans.sql("q_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM {lineit
 plans.sql("q_between_in", "SELECT p_partkey FROM {part} WHERE p_size BETWEEN 10 AND 20 AND p_partkey NOT IN (11, 12, 13) AND p_size NOT BETWEEN 14 AND 15")
 plans.sql("q_like", r"SELECT c_custkey, c_mktsegment LIKE 'B%G' AS a, c_mktsegment NOT LIKE '%M_C%' AS b, c_mktsegment ILIKE 'auto%' AS c, '10%' LIKE '10!%' ESCAPE '!' AS d FROM {customer}")
 plans.sql("q_null_tests", "SELECT doc_id, lang IS NULL AS a, lang IS NOT NULL AS b, (lang = 'en') IS TRUE AS c, (lang = 'en') IS NOT FALSE AS d, lang IS DISTINCT FROM source AS e, lang IS NOT DISTINCT FROM lang AS f FROM {documents}")
-plans.sql("q_is_unknown", "SELECT doc_id FROM {documents} WHERE (lang = 'en') IS UNKNOWN OR text IS NULL", "SELECT doc_id FROM documents WHERE (lang = 'en') IS NULL OR text IS NULL")
+plans.sql("q_is_unknown", "SELECT doc_id FROM {documents} WHERE (nullif(lang, 'en') = 'de') IS UNKNOWN OR text IS NULL", "SELECT doc_id FROM documents WHERE (nullif(lang, 'en') = 'de') IS NULL OR text IS NULL")
 plans.sql("q_case", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' ELSE 'other' END AS s, CASE WHEN o_totalprice > 300000 THEN 2 WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS size FROM {orders}")
 plans.sql("q_conditional", "SELECT doc_id, coalesce(lang, source, '-') AS a, nullif(lang, 'en') AS b, greatest(n_chars, 100) AS c, least(n_chars, 100) AS d FROM {documents}")
 plans.sql("q_cast", "SELECT o_orderkey, CAST(o_orderkey AS STRING) AS s, CAST(CAST(o_orderkey AS STRING) AS BIGINT) AS i, CAST(o_orderdate AS DATE) AS d, o_orderkey::DOUBLE / 4 AS q FROM {orders}", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s, CAST(CAST(o_orderkey AS VARCHAR) AS BIGINT) AS i, CAST(o_orderdate AS DATE) AS d, o_orderkey::DOUBLE / 4 AS q FROM orders")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillon.operators.recursive import pin
+
 
 def _options(form: str, delimiter: str | None, null: str | None, header: bool, quote: str, escape: str | None) -> dict[str, str]:
     for name, x in (("delimiter", delimiter), ("quote", quote), ("escape", escape)):
@@ -32,7 +34,7 @@ def copy_to(df: DataFrame, path: str, form: str = "csv", delimiter: str | None =
     options = _options(form, delimiter, null, header, quote, escape)
     if form == "text":
         marked = [F.col(c).cast("string") for c in df.columns]
-        for raw, safe in _ESCAPES:
+        for raw, safe in (*_ESCAPES, *([] if options["sep"] in "\t\n\r\\" else [(options["sep"], "\\" + options["sep"])])):
             marked = [F.replace(c, F.lit(raw), F.lit(safe)) for c in marked]
         line = F.concat_ws(options["sep"], *(F.coalesce(c, F.lit(options["nullValue"])) for c in marked))
         df.select(line.alias("value")).write.mode(mode).text(path)
@@ -58,7 +60,8 @@ def copy_from(spark: SparkSession, path: str, schema: T.StructType | str, form:
     elif form == "text":
         target = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
         options = _options(form, delimiter, null, header, quote, escape)
-        parts = F.split("value", "\\Q" + options["sep"] + "\\E", -1)
+        mark = f"\\x{ord(options['sep']):02x}"  # fields are told apart before escapes are undone, so an escaped delimiter is part of one
+        parts = F.regexp_extract_all(F.concat("value", F.lit(options["sep"])), F.lit(f"((?:\\\\.|[^\\\\{mark}])*){mark}"), F.lit(1))
         cells = []
         for i, f in enumerate(target.fields):
             cell = F.get(parts, F.lit(i))
@@ -90,11 +93,47 @@ def create_as(df: DataFrame, path: str, with_data: bool = True) -> DataFrame:
 
 
 def refresh(df: DataFrame, path: str) -> DataFrame:
-    """REFRESH MATERIALIZED VIEW: computed beside the old one, which goes once it is there."""
+    """REFRESH MATERIALIZED VIEW: computed beside the old table, which is then renamed away.
+
+    Between the two renames a reader may find no table; what a failure there leaves
+    is put right by the next refresh.
+    """
     spark = df.sparkSession
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    live, fresh, old = of(path), of(path + ".new"), of(path + ".old")
+    files = live.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(old) and not files.exists(live):
+        files.rename(old, live)
+    files.delete(old, True)
     df.write.mode("overwrite").parquet(path + ".new")
-    spark.read.parquet(path + ".new").write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if files.exists(live):
+        files.rename(live, old)
+    files.rename(fresh, live)
+    files.delete(old, True)
+    spark.catalog.refreshByPath(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def foreign(spark: SparkSession, path: str, form: str = "parquet", schema: T.StructType | str | None = None, **options: str) -> DataFrame:
+    """A foreign table: files of any format that Spark has a reader for, with its options; filters and columns reach it."""
+    reader = spark.read.format(form).options(**options)
+    return (reader.schema(schema) if schema is not None else reader).load(path)
+
+
+def folder_snapshot(df: DataFrame, path: str) -> DataFrame:
+    """Write a snapshot with the hash of each row; ``stale`` tells whether it still is what the table holds."""
+    hashed = df.withColumn("row_hash", F.xxhash64(*df.columns))
+    hashed.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(hashed.schema).parquet(path)
+
+
+def stale(df: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """One row: whether rows were added to or taken from the table since the snapshot, and how many."""
+    now = df.select(F.xxhash64(*df.columns).alias("h")).groupBy("h").agg(F.count("*").alias("now"))
+    was = snapshot.select(F.col("row_hash").alias("h")).groupBy("h").agg(F.count("*").alias("was"))
+    both = now.join(was, "h", "full").select(F.coalesce("now", F.lit(0)).alias("now"), F.coalesce("was", F.lit(0)).alias("was"))
+    sums = both.agg(F.coalesce(F.sum(F.greatest(F.col("now") - F.col("was"), F.lit(0))), F.lit(0)).alias("added"), F.coalesce(F.sum(F.greatest(F.col("was") - F.col("now"), F.lit(0))), F.lit(0)).alias("removed"))
+    return sums.select("added", "removed", ((F.col("added") > 0) | (F.col("removed") > 0)).alias("stale"))
 
 
 def sample(df: DataFrame, percent: float, seed: int | None = None, system: bool = False) -> DataFrame:
@@ -114,6 +153,23 @@ def next_ids(df: DataFrame, column: str, existing: DataFrame | None = None, star
     return df.withColumn(column, F.lit(base) + F.monotonically_increasing_id() * increment)
 
 
+def nextval(df: DataFrame, column: str, order: Sequence[str], start: int = 1, increment: int = 1) -> DataFrame:
+    """The rows with the next values of a sequence in the order of keys, without gaps.
+
+    Rows are dealt out by ranges of the keys; only a count for each partition comes
+    to the driver. The dealt rows are checkpointed, so that both readings see the same.
+    """
+    placed = pin(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
+    counts = sorted(placed.groupBy("__part").count().collect())
+    before, n = {}, 0
+    for part, count in counts:
+        before[part] = n
+        n += count
+    firsts = F.create_map(*(F.lit(x) for pair in (before or {0: 0}).items() for x in pair))
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    return placed.withColumn(column, F.lit(start) + (firsts[F.col("__part")] + inside) * increment).drop("__part")
+
+
 def package_hashes(df: DataFrame) -> DataFrame:
     """Files (path, content) with the SHA-256 of their content."""
     return df.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("hash"))

@@ -46,9 +46,10 @@ def read_folder(spark, path: str, schema, files_per_trigger: int = 100) -> DataF
 
 
 def upsert_sink(path: str, keys: list[str], time: str):
-    """A foreachBatch function that keeps the newest row of each key in a table of batches.
+    """A foreachBatch function that writes the newest row of each key of a batch under the batch's number.
 
-    Each batch is written once under its number, so a repeated batch replaces itself.
+    A repeated batch replaces itself. A key may be in several batches; ``read_upserted``
+    gives its newest row over all of them.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -56,3 +57,10 @@ def upsert_sink(path: str, keys: list[str], time: str):
         newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
+
+
+def read_upserted(spark, path: str, keys: list[str], time: str) -> DataFrame:
+    """The newest row of each key of a table that ``upsert_sink`` writes; of equal times the later batch's."""
+    rows = spark.read.parquet(path)
+    columns = [c for c in rows.columns if c != "batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(time, "batch")).alias("r")).select("r.*")

@@ -1,5 +1,6 @@
 """Edge cases of the operators over small literals: nulls, ties, empty inputs, repeated rows."""
 
+import random
 import shutil
 
 import pytest
@@ -132,6 +133,81 @@ def test_asof_takes_the_last_at_or_before(spark):
     assert rows(joins.asof_join(left, right, ["k"], "t", "rt", ["v"])) == [(1, 1, None), (1, 5, "b"), (2, 9, None)]
 
 
+def test_asof_matches_neither_null_keys_nor_null_times(spark):
+    left = spark.createDataFrame([(1, 5), (None, 5), (1, None), (1, 100), (2, 1)], "k int, t int")
+    right = spark.createDataFrame([(1, None, "n"), (None, 1, "x"), (1, 4, "a"), (1, 60, "b"), (2, 2, "z")], "k int, rt int, v string")
+    want = [(None, 5, None), (1, None, None), (1, 5, "a"), (1, 100, "b"), (2, 1, None)]
+    for width in (1.0, 7.0, 1000.0):
+        assert sorted(rows(joins.asof_join(left, right, ["k"], "t", "rt", ["v"], width)), key=str) == sorted(want, key=str)
+
+
+def test_asof_equals_a_loop(spark):
+    rng = random.Random(5)
+    left = [(rng.choice("ab"), rng.randrange(400)) for _ in range(150)]
+    right = [(k, t, f"{k}{t}") for k, t in {(rng.choice("ab"), rng.randrange(400)) for _ in range(40)}]
+    got = rows(joins.asof_join(spark.createDataFrame(left, "k string, t long"), spark.createDataFrame(right, "k string, rt long, v string"), ["k"], "t", "rt", ["v"], 50.0))
+    assert sorted(got, key=str) == sorted(((k, t, max(((rt, v) for j, rt, v in right if j == k and rt <= t), default=(0, None))[1]) for k, t in left), key=str)
+
+
+def test_range_joins_of_any_length_equal_loops(spark):
+    rng = random.Random(6)
+    spans = [(float(a), a + rng.choice([0.0, 0.3, 2.0, 40.0, 1e6])) for a in (rng.uniform(-100, 100) for _ in range(60))]
+    points = [(rng.uniform(-200, 200),) for _ in range(50)] + [(None,)]
+    p, s = spark.createDataFrame(points, "p double"), spark.createDataFrame(spans, "lo double, hi double")
+    pairs = [(x, lo, hi) for (x,) in points for lo, hi in spans if x is not None and lo <= x < hi]
+    assert sorted(rows(joins.range_join(p, s, "p", "lo", "hi", 2.0))) == sorted(pairs)
+    lone = [(x, None, None) for (x,) in points if not any(x == y for y, _, _ in pairs)]
+    assert sorted(rows(joins.range_join(p, s, "p", "lo", "hi", 2.0, "left")), key=str) == sorted(pairs + lone, key=str)
+    other = [(a, a + rng.choice([0.1, 5.0, 1e5])) for a in (rng.uniform(-100, 100) for _ in range(20))]
+    want = [(lo, hi, a, b) for lo, hi in spans for a, b in other if lo < hi and lo < b and a < hi]
+    assert sorted(rows(joins.overlap_join(s, spark.createDataFrame(other, "a double, b double"), ("lo", "hi"), ("a", "b"), 2.0))) == sorted(want)
+
+
+def test_components_equal_mutual_reach(spark):
+    from quillon.operators import graph
+
+    rng = random.Random(7)
+    edges = [(f"n{rng.randrange(40):02d}", f"n{rng.randrange(40):02d}", "soft") for _ in range(55)]
+    reach = {a: {a} for e in edges for a in e[:2]}
+    for _ in range(len(reach)):
+        for a, b, _ in edges:
+            reach[a] |= reach[b]
+    want = {(a, min(b for b in reach[a] if a in reach[b])) for a in reach if any(b != a and a in reach[b] for b in reach[a])}
+    assert set(rows(graph.components(spark.createDataFrame(edges, "src string, dst string, kind string")))) == want and want
+    with pytest.raises(ValueError, match="cycles"):
+        graph.levels(spark.createDataFrame([("a", "b", "hard"), ("b", "a", "hard")], "src string, dst string, kind string"), spark.createDataFrame([("a",), ("b",)], "key string"))
+
+
+def test_newest_rows_over_batches(spark, tmp_path):
+    from quillon.streaming import events
+
+    write = events.upsert_sink(str(tmp_path / "t"), ["k"], "t")
+    write(spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 5, "x")], "k int, t int, v string"), 0)
+    write(spark.createDataFrame([(1, 3, "c"), (2, 4, "old")], "k int, t int, v string"), 1)
+    assert rows(events.read_upserted(spark, str(tmp_path / "t"), ["k"], "t")) == [(1, 3, "c"), (2, 5, "x")]
+
+
+def test_copy_text_keeps_its_delimiter(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b\\,c"), (2, None), (3, ""), (4, "x\ty"), (5, ",")], "k int, v string")
+    copy.copy_to(df, str(tmp_path / "out"), "text", delimiter=",")
+    assert rows(copy.copy_from(spark, str(tmp_path / "out"), "k int, v string", "text", delimiter=",")) == rows(df)
+
+
+def test_references_of_statements():
+    from quillon.operators import references as R
+
+    found = lambda q: {(r["name"], r["how"]) for r in R.collect(q)}
+    assert found("select 'from x' /* from y */ -- from z\n from w for update") == {("w", "relation")}
+    assert found('with a(x) as (select 1), b as (select * from a) select * from b, "Big" c, lateral g(c.y)') == {("Big", "relation"), ("g", "function")}
+    assert found("update t set a = s.b from s where t.a is distinct from s.c") == {("t", "relation"), ("s", "relation")}
+    assert R.collect("") == R.check(None, {}, set()) == []
+
+
+def test_sequences_have_no_gaps(spark):
+    made = copy.nextval(spark.range(500).repartition(7), "n", ["id"], 10, -2)
+    assert sorted(map(tuple, made.collect())) == [(i, 10 - 2 * i) for i in range(500)]
+
+
 def test_aggregates_keep_nulls_and_order(spark):
     df = spark.createDataFrame([(1, "b", 2), (1, None, 1), (1, "a", 3), (2, None, 1)], "k int, v string, o int")
     made = df.groupBy("k").agg(aggregates.array_agg("v", ["o"]).alias("a"), aggregates.string_agg("v", "-", ["o"]).alias("s"))
