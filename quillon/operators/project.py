@@ -139,6 +139,9 @@ class Overloads:
         self.known[tuple(types)] = function
 
     def _cost(self, given: Sequence[str], wanted: Sequence[str]) -> int | None:
+        if wanted and wanted[-1].endswith("..."):  # VARIADIC: as many of the last type as are given, at least one
+            fixed = list(wanted[:-1])
+            wanted = [*fixed, *[wanted[-1].removesuffix("...")] * max(1, len(given) - len(fixed))]
         if len(given) != len(wanted):
             return None
         total = 0
@@ -162,6 +165,30 @@ class Overloads:
         return self.resolve([re.sub(r"\(.*", "", types[c]) for c in columns])(*(F.col(c) for c in columns))
 
 
+class Operators:
+    """User operators: a symbol and its argument types name a function, which an index or a sort may use by its name."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, Overloads] = {}
+
+    def define(self, symbol: str, types: Sequence[str], function) -> None:
+        self.known.setdefault(symbol, Overloads(symbol)).add(types, function)
+
+    def apply(self, df: DataFrame, left: str, symbol: str, right: str) -> Column:
+        return self.known[symbol].call(df, left, right)
+
+
+def run_rules(rules: Sequence, **tables: DataFrame) -> DataFrame:
+    """Rules from outside: each takes the metadata tables by name and gives findings (rule, severity, object, detail)."""
+    found = None
+    for rule in rules:
+        one = rule(**tables).select("rule", "severity", "object", "detail")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        raise ValueError("no rules")
+    return found
+
+
 def run_block(spark: SparkSession, script: str) -> DataFrame:
     """A procedural block (DECLARE, SET, IF, CASE, WHILE, LOOP, FOR, LEAVE, ITERATE, SIGNAL, handlers) as SQL scripting.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillon.operators import catalog, compare, graph, project, references, schema
@@ -243,3 +244,56 @@ def bad_frame(spark, sf_dir):
     except AnalysisException:
         return spark.createDataFrame([(True,)], "refused boolean")
     return spark.createDataFrame([(False,)], "refused boolean")
+
+
+@plans.query("q_variadic", "SELECT n_nationkey, n_nationkey + n_regionkey AS two, n_nationkey + n_regionkey + n_nationkey AS three FROM nation")
+def variadic(spark, sf_dir):
+    """A function of as many numbers as are given"""
+    f = project.Overloads("total")
+    f.add(["bigint..."], lambda *xs: sum(xs[1:], xs[0]))
+    t = Lake(spark, sf_dir).nation.withColumns({c: F.col(c).cast("bigint") for c in ("n_nationkey", "n_regionkey")})
+    return t.select("n_nationkey", f.call(t, "n_nationkey", "n_regionkey").alias("two"), f.call(t, "n_nationkey", "n_regionkey", "n_nationkey").alias("three"))
+
+
+@plans.query("q_user_operators", "SELECT o_orderkey, abs(o_orderkey - o_custkey) AS apart, o_orderstatus || '/' || o_orderstatus AS joined FROM orders")
+def user_operators(spark, sf_dir):
+    """One symbol for whole numbers and for text"""
+    ops = project.Operators()
+    ops.define("<->", ["bigint", "bigint"], lambda a, b: F.abs(a - b))
+    ops.define("<->", ["string", "string"], lambda a, b: F.concat(a, F.lit("/"), b))
+    t = Lake(spark, sf_dir).orders.withColumns({c: F.col(c).cast("bigint") for c in ("o_orderkey", "o_custkey")})
+    return t.select("o_orderkey", ops.apply(t, "o_orderkey", "<->", "o_custkey").alias("apart"), ops.apply(t, "o_orderstatus", "<->", "o_orderstatus").alias("joined"))
+
+
+@plans.query("q_external_rules", "SELECT * FROM (VALUES ('no-text', 'info', 'app.t', 'b'), ('short-name', 'warning', 'app.t', 'a'), ('short-name', 'warning', 'app.t', 'b')) t(rule, severity, object, detail)")
+def external_rules(spark, sf_dir):
+    where = F.concat_ws(".", "schema", "table").alias("object")
+    finding = lambda name, level, rows: rows.select(F.lit(name).alias("rule"), F.lit(level).alias("severity"), where, F.col("name").alias("detail"))
+    rules = [lambda columns, **_: finding("no-text", "info", columns.filter("type = 'text'")), lambda columns, **_: finding("short-name", "warning", columns.filter("length(name) < 2"))]
+    columns = spark.createDataFrame([("app", "t", "a", 1, "int", True, None, None, None), ("app", "t", "b", 2, "text", True, None, None, None), ("app", "t", "long", 3, "int", True, None, None, None)], catalog.COLUMNS)
+    return project.run_rules(rules, columns=columns, statements=columns.limit(0))
+
+
+@plans.query("q_procedural_function", "SELECT p_partkey, CAST(gcd(p_partkey, p_size) AS BIGINT) AS g FROM part")
+def procedural_function(spark, sf_dir):
+    """A function with a loop, as an Arrow batch function"""
+    @F.pandas_udf("bigint")
+    def common(a: pd.Series, b: pd.Series) -> pd.Series:
+        while (b > 0).any():
+            a, b = a.where(b == 0, b), (a % b.where(b > 0, 1)).where(b > 0, 0)
+        return a
+
+    return Lake(spark, sf_dir).part.select("p_partkey", common(F.col("p_partkey").cast("bigint"), F.col("p_size").cast("bigint")).alias("g"))
+
+
+@plans.query("q_call_with_arguments", "SELECT count(*) AS n, max(o_totalprice) AS most FROM orders WHERE o_orderstatus = 'F'")
+def call_with_arguments(spark, sf_dir):
+    """CALL and EXECUTE ... USING: a statement made from text, with arguments bound to it"""
+    Lake(spark, sf_dir).orders.createOrReplaceTempView("quillon_orders")
+    script = """
+    BEGIN
+      DECLARE wanted STRING DEFAULT 'F';
+      DECLARE statement STRING DEFAULT 'SELECT count(*) AS n, max(o_totalprice) AS most FROM quillon_orders WHERE o_orderstatus = ?';
+      EXECUTE IMMEDIATE statement USING wanted;
+    END"""
+    return project.run_block(spark, script)

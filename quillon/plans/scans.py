@@ -73,6 +73,18 @@ def tablesample(spark, sf_dir):
     return copy.sample(Lake(spark, sf_dir).lineitem, 10, seed=42)
 
 
+@plans.query("q_tablesample_bounds", "SELECT count(*) AS every, 0::BIGINT AS none, true AS tenth, true AS repeats, true AS blocks FROM lineitem")
+def tablesample_bounds(spark, sf_dir):
+    """All of 100 percent, none of 0, about a tenth of 10, the same again for one seed; SYSTEM takes whole partitions."""
+    t = Lake(spark, sf_dir).lineitem
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    key = F.xxhash64("l_orderkey", "l_linenumber").cast("decimal(38,0)")
+    one, two = (copy.sample(t, 10, seed=7).agg(F.count("*").alias(f"n{i}"), F.sum(key).alias(f"h{i}")) for i in (1, 2))
+    parts = copy.sample(t, 50, seed=3, system=True).select(F.spark_partition_id().alias("p")).groupBy("p").count().join(t.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("all")), "p").agg(F.coalesce(F.bool_and(F.col("count") == F.col("all")), F.lit(True)).alias("blocks"))
+    row = count(copy.sample(t, 100, seed=1), "every").crossJoin(count(copy.sample(t, 0, seed=1), "none")).crossJoin(one).crossJoin(two).crossJoin(parts)  # one row each
+    return row.select("every", "none", ((F.col("n1") > 0.05 * F.col("every")) & (F.col("n1") < 0.15 * F.col("every"))).alias("tenth"), ((F.col("n1") == F.col("n2")) & (F.col("h1") == F.col("h2"))).alias("repeats"), "blocks")
+
+
 @plans.query("q_json_table", "SELECT event_id, 1 AS ordinality, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE props IS NOT NULL")
 def json_table(spark, sf_dir):
     return pgjson.json_table(Lake(spark, sf_dir).events.select("event_id", "props"), "props", "$", {"k": ("bigint", "$.k")}).drop("props")

@@ -39,3 +39,16 @@ def sessions(spark, sf_dir):
 def date_bin(spark, sf_dir):
     rows = Lake(spark, sf_dir).events.filter("ts is not null")
     return rows.groupBy(pg.date_bin(420, "ts").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@plans.query(
+    "q_debounce",
+    """
+    SELECT user_id, max(ts) AS ts, arg_max(event_id, ts) AS event_id FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM (
+        SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 45 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL)) GROUP BY user_id, burst
+    """,
+)
+def debounce(spark, sf_dir):
+    """The newest event of each burst of a user: the quiet window is 45 minutes"""
+    return events.debounce(Lake(spark, sf_dir).events, "ts", "45 minutes", ["user_id"], "event_id")
