@@ -1,7 +1,8 @@
 """Pack documents into fixed-length sequences along a space-filling curve.
 
-Method: a document's token ids are counted into a hashed vector that a fixed
-random matrix projects to a few dimensions (both at once: each id has its row).
+Method: a document's token ids are counted into a hashed vector of ``HASHED``
+signed coordinates, which a fixed random matrix projects to a few dimensions
+(both at once: an id has the matrix's row of its coordinate, times its sign).
 The projection is laid on a grid and numbered by its place on a Hilbert curve,
 so documents with like vocabulary get near keys. Rows are dealt out by ranges of
 (key, id) and sorted; each partition is one stretch of the curve, whose ids are
@@ -33,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import map_arrow, save
+from quillon.llm.shingles import mix
 
 #: Distinct words whose ids a worker remembers; it starts anew beyond that.
 REMEMBERED = 300_000
-DIMENSIONS, BITS = 4, 15
+DIMENSIONS, BITS, HASHED = 4, 15, 1 << 14
 
 
 class Encoder:
@@ -105,8 +107,11 @@ def narrow(id_count: int) -> str:
 
 @lru_cache(2)
 def projection(ids: int, dimensions: int, seed: int = 5) -> np.ndarray:
-    """A row for each id: where its hashed coordinate goes under the random matrix."""
-    return np.random.default_rng(seed).standard_normal((ids, dimensions)).astype(np.float32)
+    """A row for each id: where its hashed coordinate and sign go under the random matrix."""
+    matrix = np.random.default_rng(seed).standard_normal((HASHED, dimensions)).astype(np.float32)
+    drawn = mix(np.arange(1, ids + 1, dtype=np.uint64))
+    sign = np.where(drawn >> np.uint64(63), np.float32(-1), np.float32(1))
+    return matrix[(drawn % np.uint64(HASHED)).astype(np.int64)] * sign[:, None]
 
 
 def hilbert(grid: np.ndarray, bits: int) -> np.ndarray:
