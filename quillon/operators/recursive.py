@@ -22,33 +22,53 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rounds that are kept apart before they are written together.
+APART = 16
+
+
+def _union(rounds: list[DataFrame]) -> DataFrame:
+    out = rounds[0]
+    for r in rounds[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int = 10_000) -> DataFrame:
     """WITH RECURSIVE ... UNION: what is new in each round, until nothing is.
 
-    Raises RuntimeError beyond ``limit`` rounds; UNION ends by itself on finite data.
+    A round is written once; what is there is written again only every ``APART``
+    rounds. Raises RuntimeError beyond ``limit`` rounds; UNION ends by itself on
+    finite data.
     """
     fresh = pin(seed.distinct())
-    every = fresh
+    names, rounds = fresh.columns, [fresh]
     for _ in range(limit):
-        fresh = pin(step(fresh).select(*every.columns).distinct().exceptAll(every))
+        known = _union(rounds).toDF(*(f"__known_{i}" for i in range(len(names))))
+        same = [F.col(c).eqNullSafe(F.col(f"__known_{i}")) for i, c in enumerate(names)]
+        fresh = pin(step(fresh).select(*names).distinct().join(known, same, "left_anti"))
         if fresh.isEmpty():
-            return every
-        every = pin(every.unionByName(fresh))
+            return _union(rounds)
+        rounds.append(fresh)
+        if len(rounds) > APART:
+            rounds = [pin(_union(rounds))]
     raise RuntimeError(f"no fixpoint after {limit} rounds")
 
 
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """All pairs (src, dst) with a path of one edge or more, by doubling: about log2(longest) rounds."""
-    every = pin(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
-    n = every.count()
-    while True:
-        hop = every.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        longer = every.join(hop, F.col("dst") == F.col("a")).select("src", F.col("b").alias("dst"))
-        every = pin(every.unionByName(longer).distinct())
-        now = every.count()
-        if now == n:
-            return every
-        n = now
+    """All pairs (src, dst) with a path of one edge or more; the pairs are the result, so their number is its size.
+
+    In each round only pairs that the last round found are lengthened, by all
+    pairs known, on both sides: about log2(longest) rounds.
+    """
+    fresh = pin(edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct())
+    every = fresh
+    while not fresh.isEmpty():
+        ahead = fresh.join(every.toDF("a", "b"), F.col("dst") == F.col("a")).select("src", F.col("b").alias("dst"))
+        behind = every.join(fresh.toDF("a", "b"), F.col("dst") == F.col("a")).select("src", F.col("b").alias("dst"))
+        made = ahead.unionByName(behind).distinct()
+        fresh = pin(made.join(every.toDF("a", "b"), F.col("src").eqNullSafe(F.col("a")) & F.col("dst").eqNullSafe(F.col("b")), "left_anti"))
+        every = pin(every.unionByName(fresh))
+    return every
 
 
 def reachable(edges: DataFrame, start: DataFrame, node: str = "node") -> DataFrame:

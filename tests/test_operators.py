@@ -178,6 +178,12 @@ def test_components_equal_mutual_reach(spark):
         graph.levels(spark.createDataFrame([("a", "b", "hard"), ("b", "a", "hard")], "src string, dst string, kind string"), spark.createDataFrame([("a",), ("b",)], "key string"))
 
 
+def test_closure_ends_with_nulls_and_cycles(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), (None, "a"), ("b", None), ("a", "b")], "src string, dst string")
+    want = {(x, y) for x in ("a", "b", None) for y in ("a", "b", None)}
+    assert set(rows(recursive.closure(edges))) == want
+
+
 def test_newest_rows_over_batches(spark, tmp_path):
     from quillon.streaming import events
 
