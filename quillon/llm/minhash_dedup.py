@@ -389,7 +389,7 @@ def link(docs: DataFrame, percent: int = 85, size: int = 5, least: int | None =
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")).unionByName(alone)
 
 
-def keep_one(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """The rows, with all their columns, that stand for their group: the one with the smallest id.
 
     Ids are taken to be unique; where one id has several rows, all of them stay if one stands for its group.

@@ -123,7 +123,7 @@ def test_empty_table_and_keeping_one(spark):
     rows = corpus(3, 4, 6)[: 4 * 6]
     docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, gone_id string")
     assert M.link(docs.limit(0)).count() == 0
-    kept = M.keep_one(docs)
+    kept = M.keep_one(docs, 85)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(int(k) for k, _, _, keep in brute(rows) if keep)
 
 
