@@ -115,13 +115,37 @@ def _walk(tree, path):
 
 
 def _mapped(j, change: Callable, kind: str = "string") -> Column:
+    return together(j, value=(kind, change))["value"]
+
+
+def together(j, **changes: tuple[str, Callable]) -> Column:
+    """Several results of one JSON column as a struct, for which each value is parsed once.
+
+    Each is (type, function of the tree), as ``setting``, ``deleting`` and ``existing`` make them.
+    """
+    kind = ", ".join(f"`{name}` {k}" for name, (k, _) in changes.items())
+
     @F.pandas_udf(kind)
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else change(json.loads(v)) for v in x], dtype=object)
+    def run(x: pd.Series) -> pd.DataFrame:
+        trees = [None if v is None else json.loads(v) for v in x]
+        return pd.DataFrame({name: pd.Series([None if v is None else change(t) for v, t in zip(x, trees, strict=True)], dtype=object) for name, (_, change) in changes.items()})
 
     return run(_c(j))
 
 
+def setting(path: list, value: str, create: bool = True) -> tuple[str, Callable]:
+    tree = json.loads(value)
+    return "string", lambda a: _dump(_put(a, path, tree, create, False, False))
+
+
+def deleting(path: list) -> tuple[str, Callable]:
+    return "string", lambda a: _dump(_drop(a, path))
+
+
+def existing(path: str) -> tuple[str, Callable]:
+    return "boolean", lambda a: bool(path_query(a, path))
+
+
 def _holds(a, b, top: bool = True) -> bool:
     if isinstance(a, dict) and isinstance(b, dict):
         return all(k in a and _holds(a[k], v, False) for k, v in b.items())
@@ -174,8 +198,7 @@ def _put(tree, path: list, value, create: bool, insert: bool, after: bool):
 
 def set_(j, path: list, value: str, create: bool = True) -> Column:
     """jsonb_set"""
-    tree = json.loads(value)
-    return _mapped(j, lambda a: _dump(_put(a, path, tree, create, False, False)))
+    return together(j, value=setting(path, value, create))["value"]
 
 
 def insert(j, path: list, value: str, after: bool = False) -> Column:
@@ -199,7 +222,7 @@ def _drop(tree, path):
 
 def delete_path(j, path: list) -> Column:
     """#- and -"""
-    return _mapped(j, lambda a: _dump(_drop(a, path)))
+    return together(j, value=deleting(path))["value"]
 
 
 def _strip(tree):
@@ -298,7 +321,7 @@ def _test(item, test: str) -> bool:
 
 def path_exists(j, path: str) -> Column:
     """jsonb_path_exists and @?"""
-    return _mapped(j, lambda a: bool(path_query(a, path)), "boolean")
+    return together(j, value=existing(path))["value"]
 
 
 def path_match(j, path: str) -> Column:

@@ -2,7 +2,7 @@
 
 ``edges`` are (src, dst, kind): src depends on dst; kind is hard, soft or runtime.
 Closures and components are joins. The plan of changes needs a priority at each
-step; it runs on the driver and takes at most ``MOST_CHANGES`` changes.
+step, so it runs on the driver, whose memory it takes in proportion to a catalog's changes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 
 from quillon.operators.recursive import closure, fixpoint, pin
 
-MOST_CHANGES = 100_000
 
 #: Order of kinds in a plan; destructive steps come last.
 PHASES = {"schema": 10, "extension": 12, "type": 15, "sequence": 20, "table": 40, "column": 45, "primary_key": 55, "unique": 57, "check": 60, "index": 65, "foreign_key": 70, "view": 75, "function": 80, "trigger": 85, "drop_constraint": 5, "drop_column": 90, "drop_table": 95}
@@ -149,8 +148,6 @@ def plan(changes: Sequence[Mapping], edges: Sequence[tuple[str, str, str]]) -> l
     changes ignore edges. In each hard cycle the smallest key whose change can be
     stubbed goes first; what a soft cycle leaves follows in phase order.
     """
-    if len(changes) > MOST_CHANGES:
-        raise ValueError(f"more than {MOST_CHANGES} changes")
     place = {c["key"]: i for i, c in enumerate(changes) if not c.get("destructive")}
     waits: dict[int, set[int]] = {i: set() for i in range(len(changes))}
     frees = defaultdict(set)

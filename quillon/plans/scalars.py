@@ -129,7 +129,8 @@ def json_construction(spark, sf_dir):
 @plans.query("q_json_changes", """SELECT event_id, '{"k":' || json_extract(props, '$.k') || ',"new":[1]}' AS s, '{}' AS d, contains(props, '"k"') AS c FROM events WHERE props IS NOT NULL""")
 def json_changes(spark, sf_dir):
     rows = Lake(spark, sf_dir).events.filter("props is not null")
-    return rows.select("event_id", pgjson.set_("props", ["new"], "[1]").alias("s"), pgjson.delete_path("props", ["k"]).alias("d"), pgjson.path_exists("props", "$.k").alias("c"))
+    made = pgjson.together("props", s=pgjson.setting(["new"], "[1]"), d=pgjson.deleting(["k"]), c=pgjson.existing("$.k"))
+    return rows.select("event_id", made.alias("made")).select("event_id", "made.*")
 
 
 @plans.query("q_range_operators", "SELECT p_partkey, (p_size <= 20 AND 20 < p_size + 10) AS has, (p_size < 25 AND 15 < p_size + 10) AS overlaps, p_size + 10 <= 15 AS before, (p_size + 10 = 15 OR p_size = 25) AS touches, CASE WHEN p_size < 25 AND 15 < p_size + 10 THEN '[' || greatest(p_size, 15) || ',' || least(p_size + 10, 25) || ')' ELSE 'empty' END AS common, '[' || least(p_size, 15) || ',' || greatest(p_size + 10, 25) || ')' AS both FROM part")
