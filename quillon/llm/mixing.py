@@ -121,10 +121,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
 def repeat(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, epochs: float = 2.0, seed: int = 17, rows_per_bin: int = 5_000) -> DataFrame:
     """The mixed corpus: each row of ``docs``, all columns kept, as often as ``mix`` takes it."""
-    keys = ("doc_id", "source", "draw")
-    counts = mix(docs, weights, share, epochs, seed, rows_per_bin).groupBy(*(F.col(c).alias(f"mixed {c}") for c in keys)).agg(F.sum("repeats").alias("mixed total"), F.count("*").alias("mixed rows")).filter("`mixed total` > 0")
-    of = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own doc_id"), F.col("source").alias("own source"), seeded_hash(F.col("doc_id"), F.col("text"), seed).alias("own draw"))
-    nth = F.row_number().over(W.Window.partitionBy(*(f"own {c}" for c in keys)).orderBy("own draw"))
-    joined = of.withColumn("own nth", nth).join(counts, [F.col(f"own {c}").eqNullSafe(F.col(f"mixed {c}")) for c in keys])
+    marked = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  keys without nulls, so that window and join are dealt alike
+    keys = lambda side, draw: [marked("doc_id").alias(f"{side} id"), marked("source").alias(f"{side} source"), draw.alias(f"{side} draw")]
+    counts = mix(docs, weights, share, epochs, seed, rows_per_bin).select("repeats", *keys("mixed", F.col("draw")))
+    names = [f"{{}} {k}" for k in ("id", "source", "draw")]
+    counts = counts.groupBy(*(n.format("mixed") for n in names)).agg(F.sum("repeats").alias("mixed total"), F.count("*").alias("mixed rows")).filter("`mixed total` > 0")
+    of = docs.select(F.struct("*").alias("row"), *keys("own", seeded_hash(F.col("doc_id"), F.col("text"), seed)))
+    nth = F.row_number().over(W.Window.partitionBy(*(n.format("own") for n in names)).orderBy("own draw"))
+    joined = of.withColumn("own nth", nth).join(counts, [F.col(n.format("own")) == F.col(n.format("mixed")) for n in names])
     times = F.floor(F.col("mixed total") / F.col("mixed rows")) + (F.col("own nth") <= F.col("mixed total") % F.col("mixed rows")).cast("long")
     return joined.select("row", F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias("copy")).select("row.*")
