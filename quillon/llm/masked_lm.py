@@ -6,14 +6,16 @@ probabilities of all its words, each given its neighbours.
 
 Words are counted over all documents, each by its own 64-bit hash. Those that
 occur most often make the vocabulary, at most ``KNOWN``: all above a count, so
-that no tie is broken; of them the ``OWN`` commonest are numbers of
-their own, and every other word belongs to the number of its first byte. Inside
-such a number a word of the vocabulary has its counted share, and what is left
-is the share of all words outside the vocabulary, which a chain of bytes spells:
-the first byte given the number, each next byte or the word's end given the last
-byte, counted over all occurrences of such words. So every word has a probability
-of its own, and those of a number sum to one at most (the spelling also gives
-some to words that are counted).
+that no tie is broken; of them the ``OWN`` commonest are numbers of their own, and
+every other word belongs to the number of its first byte. Inside such a number a
+word of the vocabulary has its counted share. What is left is shared by all other
+words: each has its count less ``DISCOUNT``, and what is taken from the counts goes
+to all words there can be by a chain of bytes: the first byte given the number,
+each next byte or the word's end given the last byte, counted over all
+occurrences of such words. So every word has a probability of its own, also one
+that never occurs, and those of a number sum to one (but for what the chain gives
+to words of the vocabulary). Counts of words outside the vocabulary stay a table
+that scoring joins; they are many, and none is frequent.
 
 The network predicts numbers: a softmax over classes of numbers and one inside
 the class; its biases start at the counted frequencies. Every partition of the
@@ -49,8 +51,8 @@ OWN = VOCABULARY - GROUPS
 AROUND, HIDDEN, ROUNDS, BATCH = (-2, -1, 1, 2), 16, 1, 16_384
 #: Hashes that a task counts before it passes them on.
 HELD = 400_000
-#: What every byte is taken to occur more often than it was counted.
-UNSEEN = 0.1
+#: What every byte is taken to occur more often than it was counted, and what each rare word's count gives away.
+UNSEEN, DISCOUNT = 0.1, 0.75
 
 
 class Network:
@@ -181,6 +183,9 @@ class Vocabulary:
     share: np.ndarray
     escape: np.ndarray
     counts: np.ndarray
+    #: For each first byte's number the occurrences of words outside the vocabulary, and how many such words there are.
+    rare: np.ndarray
+    kinds: np.ndarray
 
     def read(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The number of each word, its log share of the number, and whether it has to be spelled."""
@@ -228,8 +233,8 @@ def count_words(docs: DataFrame) -> DataFrame:
     return found.groupBy("hash").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
-def vocabulary(docs: DataFrame, known: int = KNOWN) -> Vocabulary:
-    """Counted over all documents; ``known`` bounds the words with counts of their own."""
+def vocabulary(docs: DataFrame, known: int = KNOWN) -> tuple[Vocabulary, DataFrame]:
+    """Counted over all documents, and the counts (hash, n) of the other words; ``known`` bounds the former."""
     counted = save(count_words(docs))
     # A histogram over counts, whole up to 1024 and in 64 steps to the doubling beyond, says from which count on words are known.
     step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.lit(1024) + F.floor(F.log2(F.col("n") / F.lit(1024)) * 64)).cast("int")
@@ -239,20 +244,21 @@ def vocabulary(docs: DataFrame, known: int = KNOWN) -> Vocabulary:
             break
         least = r.step
     top = sorted(counted.filter(step >= least).collect(), key=lambda r: (-r.n, r.hash))
-    total = np.zeros(256)
-    for r in counted.groupBy("first").agg(F.sum("n").alias("n")).collect():  # a row for each byte
-        total[r["first"]] = r.n
+    total, kinds = np.zeros(256), np.zeros(256)
+    for r in counted.groupBy("first").agg(F.sum("n").alias("n"), F.count(F.when(step < least, 1)).alias("kinds")).collect():  # a row for each byte
+        total[r["first"]], kinds[r["first"]] = r.n, r.kinds
     hashes = np.array([r.hash for r in top], np.int64).view(np.uint64)
     n, group = np.array([r.n for r in top], float), np.array([r["first"] for r in top], np.int64) % GROUPS
     number = np.where(np.arange(len(top)) < OWN, np.arange(len(top)), OWN + group)
     counts = np.bincount(number[:OWN], n[:OWN], VOCABULARY)
-    every = np.bincount(np.arange(256) % GROUPS, total, GROUPS)
-    rest = every - np.bincount(group[:OWN], n[:OWN], GROUPS)
+    of_byte = np.arange(256) % GROUPS
+    rest = np.bincount(of_byte, total, GROUPS) - np.bincount(group[:OWN], n[:OWN], GROUPS)
     counts[OWN:] = rest
-    unknown = rest - np.bincount(group[OWN:], n[OWN:], GROUPS)
+    rare = rest - np.bincount(group[OWN:], n[OWN:], GROUPS)
     share = np.where(number < OWN, 0.0, np.log(n) - np.log(rest + 0.5)[group])
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], number[order], share[order], np.log((unknown + 0.5) / (rest + 0.5)), counts)
+    words = Vocabulary(hashes[order], number[order], share[order], np.log((rare + 0.5) / (rest + 0.5)), counts, rare, np.bincount(of_byte, kinds, GROUPS))
+    return words, counted.filter(step < least).select("hash", "n")
 
 
 SPELLED = 256 + 256 * 257
@@ -322,22 +328,25 @@ class Model:
     first: np.ndarray
     step: np.ndarray
 
-    def logs(self, hashes: np.ndarray, sizes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 13) -> np.ndarray:
-        """The log probability of every word of a run given its neighbours."""
+    def logs(self, hashes: np.ndarray, sizes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every word of a run the log probability given its neighbours, up to what a rare word's count makes of it.
+
+        Also where the rare words are, and the log probability of their spelling.
+        """
         number, out, spelled = self.words.read(hashes, _firsts(data, starts))
         around = contexts(number, sizes)
         for i in range(0, len(number), piece):
             out[i : i + piece] += self.network.log_probabilities(number[i : i + piece], around[i : i + piece])
         at = np.flatnonzero(spelled)
-        if len(at):
-            steps, begin, first = spelling(data, starts[at], ends[at])
-            out[at] += self.first[first] + np.add.reduceat(self.step[steps], begin)
-        return out
+        if not len(at):
+            return out, at, np.zeros(0)
+        steps, begin, first = spelling(data, starts[at], ends[at])
+        return out, at, self.first[first] + np.add.reduceat(self.step[steps], begin)
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.15, seed: int = 13, known: int = KNOWN) -> Model:
-    """A model of the whole corpus: its vocabulary, a network trained on all positions, and spellings."""
-    words = vocabulary(docs, known)
+def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.15, seed: int = 13, known: int = KNOWN) -> tuple[Model, DataFrame]:
+    """A model of the whole corpus: its vocabulary, a network trained on all positions, spellings; and the counts of rare words."""
+    words, rare = vocabulary(docs, known)
     network, spelled = Network.fresh(words.counts, seed), np.zeros(SPELLED, np.int64)
     for turn in range(rounds):
         start = network.flat()
@@ -386,24 +395,44 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.15, seed: int = 1
         mean = _average(save(map_arrow(docs.select("text"), rows, COPY)))
         if mean is not None:
             network, spelled = Network.from_flat(mean[0]), mean[1]
-    return Model(words, network, *spelling_logs(spelled))
+    return Model(words, network, *spelling_logs(spelled)), rare
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, ``n_words``, ``log_likelihood`` (summed over words) and ``mean`` (for each word)."""
+def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_words``, ``log_likelihood`` (summed over words), ``mean`` (for each word) and ``n_once``.
+
+    ``n_once`` counts the words that the corpus of the model holds in no other
+    place; a document without any may be a copy.
+    """
 
     def rows(batches):
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
             for first, hashes, sizes, data, starts, ends in word_runs([(x or "").encode() for x in batch.column("text").to_pylist()]):
-                logs = model.logs(hashes, sizes, data, starts, ends) if len(hashes) else np.zeros(0)
-                sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), logs, len(sizes))
-                mean = pa.array(np.divide(sums, sizes, out=np.zeros(len(sizes)), where=sizes > 0), pa.float64(), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), mean], ["doc_id", "n_words", "log_likelihood", "mean"])
-
-    return map_arrow(docs.select("doc_id", "text"), rows, "doc_id long, n_words long, log_likelihood double, mean double")
+                logs, at, spelled = model.logs(hashes, sizes, data, starts, ends) if len(hashes) else (np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                sums = np.bincount(owner, logs, len(sizes))
+                offsets = np.append(0, np.cumsum(np.bincount(owner[at], minlength=len(sizes)))).astype(np.int32)
+                groups = _firsts(data, starts[at]) % GROUPS if len(at) else np.zeros(0, np.uint8)
+                words = pa.StructArray.from_arrays([pa.array(hashes[at].view(np.int64)), pa.array(groups.astype(np.int32)), pa.array(spelled.astype(np.float64))], ["hash", "g", "log"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), words)], ["doc_id", "n_words", "sure", "rare"])
+
+    made = map_arrow(docs.select("doc_id", "text"), rows, "doc_id long, n_words long, sure double, rare array<struct<hash:long,g:int,log:double>>")
+    made = save(made.withColumn("row", F.monotonically_increasing_id()))
+    # Rare words with their counts: (count - discount) / all, and the spelling's part of what was taken.
+    every, kinds = (F.array(*(F.lit(float(x)) for x in v)) for v in (model.words.rare, model.words.kinds))
+    words = made.select("row", F.explode("rare").alias("w")).select("row", "w.*").join(rare.select(F.col("hash").alias("known"), "n"), F.col("hash") == F.col("known"), "left")
+    all_of, kinds_of = every[F.col("g")], kinds[F.col("g")]
+    part = F.try_divide(DISCOUNT * kinds_of, all_of)
+    seen = F.log(F.try_divide(F.col("n") - DISCOUNT, all_of) + part * F.exp("log"))
+    # A sum of decimals doesn't depend on the order of its parts.
+    log = F.when(F.col("n") > 0, seen).when(all_of > 0, F.col("log") + F.log(part)).otherwise(F.col("log")).cast("decimal(18,9)")
+    sums = words.groupBy("row").agg(F.sum(log).cast("double").alias("counted"), F.count(F.when(F.col("n") == 1, 1)).alias("n_once"))
+    total = F.col("sure") + F.coalesce("counted", F.lit(0.0))
+    found = made.select("row", "doc_id", "n_words", "sure").join(sums.withColumnRenamed("row", "of"), F.col("row") == F.col("of"), "left")
+    return found.select("doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean"), F.coalesce("n_once", F.lit(0)).alias("n_once"))
 
 
 def score_words(docs: DataFrame) -> DataFrame:
     """``score`` of every word of the documents, under a model of them."""
-    return score(docs, fit(docs))
+    return score(docs, *fit(docs))
