@@ -14,10 +14,10 @@ def joined_spans(spans):
 
 
 def span_digest(found, base: tuple[str, ...]) -> list:
-    """The contract's columns for spans in their order: counts of base kinds, digest and all spans."""
+    """The contract's columns for spans in their order: counts of base kinds, digest, all spans and their number."""
     of = lambda kinds: F.filter(found, lambda s: s["kind"].isin(*kinds))
     counts = [F.size(of((kind,))).cast("long").alias(f"n_{kind}") for kind in base]
-    return [*counts, F.sha2(joined_spans(of(base)), 256).alias("base_sha256"), joined_spans(found).alias("spans")]
+    return [*counts, F.sha2(joined_spans(of(base)), 256).alias("base_sha256"), joined_spans(found).alias("spans"), F.size(found).cast("long").alias("n_spans")]
 
 
 def op1_pack_along_curve(spark, sf_dir):
