@@ -203,7 +203,7 @@ def settle(a: tuple, b: tuple, threshold: float, same: bool) -> tuple[np.ndarray
 
 def link(vectors: DataFrame, threshold: float = 0.98, tile: int = TILE) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id`` and ``kept`` for each row of vec_id, label, embedding."""
-    double = isinstance(vectors.schema["embedding"].dataType.elementType, (T.DoubleType, T.DecimalType, T.LongType))
+    double = isinstance(vectors.schema["embedding"].dataType.elementType, (T.DoubleType, T.DecimalType, T.LongType, T.IntegerType))
     kind = np.dtype(np.float64 if double else np.float32)
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>" if double else "array<float>").alias("embedding"))
     usable = _valid(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
