@@ -45,13 +45,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[root[other]], nodes[other]
 
 
-def contract(edges: DataFrame, flush: int = 1 << 20) -> DataFrame:
-    """Each task's edges as stars; beyond ``flush`` edges it passes its stars on and starts anew."""
+def contracted(rows, flush: int = 1 << 20):
+    """What ``rows`` makes of batches, as edges, in each task as stars; beyond ``flush`` edges it passes them on and starts anew."""
 
-    def rows(batches):
+    def run(batches):
         a, b = [], []
         held = 0
-        for batch in batches:
+        for batch in rows(batches):
             a.append(batch.column("a").to_numpy(zero_copy_only=False))
             b.append(batch.column("b").to_numpy(zero_copy_only=False))
             held += batch.num_rows
@@ -64,7 +64,12 @@ def contract(edges: DataFrame, flush: int = 1 << 20) -> DataFrame:
     def out(a, b):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return map_arrow(edges, rows, EDGE)
+    return run
+
+
+def contract(edges: DataFrame) -> DataFrame:
+    """Each task's edges as stars."""
+    return map_arrow(edges, contracted(lambda batches: batches), EDGE)
 
 
 def _open(edges: DataFrame) -> DataFrame:
@@ -72,23 +77,28 @@ def _open(edges: DataFrame) -> DataFrame:
 
     ``low`` is a node's least parent, ``parent`` whether it is one itself.
     """
-    ends = F.explode(F.array(F.struct(F.col("b").alias("node"), F.col("a").alias("parent")), F.struct(F.col("a").alias("node"), F.lit(None).cast("long").alias("parent"))))
-    nodes = edges.select(ends.alias("e")).groupBy("e.node").agg(F.min("e.parent").alias("low"), F.max("e.parent").alias("high"), F.max(F.col("e.parent").isNull()).alias("parent"))
-    return nodes.filter((F.col("low") != F.col("high")) | (F.col("low").isNotNull() & F.col("parent"))).select("node", "low", "parent")
+    children = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low"), F.max("a").alias("high"))
+    parents = edges.select(F.col("a").alias("of")).distinct()
+    joined = children.join(parents, F.col("node") == F.col("of"), "left")
+    return joined.filter((F.col("low") != F.col("high")) | F.col("of").isNotNull()).select("node", "low", F.col("of").isNotNull().alias("parent"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """``node`` and ``component`` (its smallest node) of every node that has a link."""
+def components(links: DataFrame, stars: bool = False) -> DataFrame:
+    """``node`` and ``component`` (its smallest node) of every node that has a link.
+
+    ``stars`` tells that a ``contracted`` function made the links, so that no task needs a second worker to contract them.
+    """
     # Saved, as what a task contracts to depends on the order in which its rows arrive.
-    edges = save(contract(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b")))
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b")
+    edges = save(edges if stars else contract(edges))
     # Only nodes that a step moves are joined with the edges. They are saved, since joins are split
-    # where a key is hot only if both sides come straight from an exchange.
+    # where a key is hot only if both sides come straight from an exchange. A step makes one edge of each at most.
     while not (state := save(_open(edges))).isEmpty():
         moved = state.filter("parent").select("node", "low")
         large = save(edges.join(moved, F.col("a") == F.col("node"), "left").select(F.coalesce("low", "a").alias("a"), "b"))
         shared = save(large.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low < high").select("node", "low"))
-        edge = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-        small = large.join(shared, F.col("b") == F.col("node"), "left").select(F.explode(F.when(F.col("low").isNull(), F.array(edge("a", "b"))).otherwise(F.array(edge("low", "a"), edge("low", "b")))).alias("e"))
-        edges = save(small.select("e.*").filter("a <> b").distinct())
+        # Of a child of several the edge from its least parent stays; the others become edges from that parent to themselves.
+        small = large.join(shared, F.col("b") == F.col("node"), "left")
+        edges = save(small.select(F.coalesce("low", "a").alias("x"), F.when(F.col("low") < F.col("a"), F.col("a")).otherwise(F.col("b")).alias("y")).toDF("a", "b").distinct())
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).unionByName(roots)

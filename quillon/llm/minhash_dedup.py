@@ -44,12 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import map_arrow, save
-from quillon.llm.components import components, forest
+from quillon.llm.components import EDGE, components, contracted, forest
 from quillon.llm.shingles import distinct, mix, sequence_hashes, shingle_hashes, word_hashes
 
 #: Coordinates of a signature, and how many pairs at the threshold may agree in fewer than are asked for.
 COORDINATES, MISSED = 64, 2e-7
 LIST, TILE_DOCUMENTS, TILE_SHINGLES = 512, 128, 50_000
+#: Rows of each of two tiles of a list that are compared because several clusters are left: a part of ``LIST``.
+CROSS = 4
 _A, _B = (np.random.default_rng(77).integers(0, 1 << 63, (2, COORDINATES), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 SIGNED = "doc_id long, n_shingles long, sequence binary, tokens array<long>"
 
@@ -186,7 +188,7 @@ def candidate_edges(postings: DataFrame, least: int) -> DataFrame:
             if (found := _edges(a, b)) is not None:
                 yield found
 
-    return map_arrow(postings, rows, "a long, b long")
+    return map_arrow(postings, contracted(rows), EDGE)
 
 
 def cross_edges(pairs: DataFrame, least: int) -> DataFrame:
@@ -201,7 +203,7 @@ def cross_edges(pairs: DataFrame, least: int) -> DataFrame:
             if len(i) and (found := _edges([node[i]], [node[j]])) is not None:
                 yield found
 
-    return map_arrow(pairs, rows, "a long, b long")
+    return map_arrow(pairs, contracted(rows), EDGE)
 
 
 def _whole(batches, keys: tuple[str, ...]):
@@ -274,7 +276,7 @@ def confirm(tiles: DataFrame, percent: int) -> DataFrame:
             if len(i) and (found := _edges([node[order][i]], [node[order][j]])) is not None:
                 yield found
 
-    return map_arrow(tiles, rows, "a long, b long")
+    return map_arrow(tiles, contracted(rows), EDGE)
 
 
 def rest_pairs(rows: DataFrame, key: str, tiles) -> DataFrame:
@@ -340,9 +342,9 @@ def link(docs: DataFrame, percent: int = 85, size: int = 5, least: int | None =
     tile = F.pmod(F.xxhash64("node", "token"), F.ceil(F.col("n") / F.lit(longest))).cast("int")
     postings = save(postings.withColumn("tile", tile))
     lists = postings.select("token", "tile", "node", "sketch").repartition("token", "tile").sortWithinPartitions("token", "tile")
-    clusters = save(components(candidate_edges(lists, least)))
+    clusters = save(components(candidate_edges(lists, least), stars=True))
     some = labelled(postings.filter(F.col("n") > longest).select("token", "node", "sketch"), clusters).withColumn("weight", F.lit(1))
-    pairs = rest_pairs(some, "token", lambda n, _: F.ceil(n / F.lit(longest))).select("token", "tile_a", "tile_b", "tile", "node", "label", "sketch")
+    pairs = rest_pairs(some, "token", lambda n, _: F.ceil(n * CROSS / F.lit(longest))).select("token", "tile_a", "tile_b", "tile", "node", "label", "sketch")
     pairs = pairs.repartition("token", "tile_a", "tile_b").sortWithinPartitions("token", "tile_a", "tile_b")
     more = save(cross_edges(pairs, least))
     if not more.isEmpty():
@@ -376,7 +378,7 @@ def link(docs: DataFrame, percent: int = 85, size: int = 5, least: int | None =
     count, draw = F.col("tiles_of"), lambda seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col("tiles_of")).cast("int")
     twice = sets.withColumn("label", F.col("node")).withColumn("tile", F.explode(F.when(count == 1, F.array(F.lit(0))).otherwise(F.array(draw(1), count + draw(2)))))
     twice = twice.withColumns({"tile_a": F.col("tile"), "tile_b": F.col("tile")}).select(*columns)
-    linked = save(components(confirm(twice.repartition(*keys).sortWithinPartitions(*keys), percent)))
+    linked = save(components(confirm(twice.repartition(*keys).sortWithinPartitions(*keys), percent), stars=True))
     large = labelled(sets.filter("tiles_of > 1"), linked).withColumn("weight", F.length("shingles") / 8)
     met = rest_pairs(large, "cluster", tiles).select(*columns)
     more = save(confirm(met.repartition(*keys).sortWithinPartitions(*keys), percent))
