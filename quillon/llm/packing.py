@@ -36,18 +36,14 @@ from pyspark.sql import functions as F
 from quillon.llm.common import map_arrow, save
 from quillon.llm.shingles import mix
 
-#: Distinct words whose ids a worker remembers; it starts anew beyond that.
-REMEMBERED = 300_000
 DIMENSIONS, BITS, HASHED = 4, 15, 1 << 14
 
 
 class Encoder:
     """Token ids as little-endian bytes (of numpy type ``kind``), the same as the tokenizer's own.
 
-    A cut before a space that follows a non-space never falls inside a
-    pre-token, so words are encoded one by one and remembered. Texts with other
-    runs of white space are encoded whole, and texts that may hold a special
-    token by the tokenizer itself.
+    Texts are encoded whole, those that may hold a special token by the tokenizer
+    itself. A text that follows an equal one, as a mix's repetitions do, takes its ids.
     """
 
     def __init__(self, vocabulary: str, ranks: str, kind: str = "<u4") -> None:
@@ -59,7 +55,7 @@ class Encoder:
         with open(vocabulary, encoding="utf-8") as described:
             self._special = tuple(t["content"] for t in json.load(described)["added_tokens"])
         self._vocabulary, self._kind = vocabulary, kind
-        self._words: dict[str, bytes | None] = {}
+        self._last: tuple[str, bytes] = ("", b"")
 
     @cached_property
     def _tokenizer(self):
@@ -67,32 +63,17 @@ class Encoder:
 
         return Tokenizer.from_file(self._vocabulary)
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self._kind).tobytes()
-
-    def _word(self, word: str) -> bytes | None:
-        if len(self._words) >= REMEMBERED:
-            self._words.clear()
-        made = None if not word or word[-1].isspace() else self._bytes(self._ordinary(" " + word))
-        self._words[word] = made
-        return made
+    def _ids(self, text: str) -> list[int]:
+        if any(s in text for s in self._special):
+            return self._tokenizer.encode(text, add_special_tokens=False).ids
+        return self._ordinary(text)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self._special):
-            return self._bytes(self._tokenizer.encode(text, add_special_tokens=False).ids)
-        first, *rest = text.split(" ")
-        if first and not first[-1].isspace():
-            held, made = self._words, [self._bytes(self._ordinary(first))]
-            for word in rest:
-                ids = held[word] if word in held else self._word(word)
-                if ids is None:
-                    break
-                made.append(ids)
-            else:
-                return b"".join(made)
-        return self._bytes(self._ordinary(text))
+        if text != self._last[0]:
+            self._last = (text, np.array(self._ids(text), self._kind).tobytes())
+        return self._last[1]
 
 
 @lru_cache(1)

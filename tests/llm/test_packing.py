@@ -35,6 +35,15 @@ def test_encoder_knows_special_tokens(tokenizer):
     assert P.encoder(VOCABULARY, RANKS).encode(text) == ids_of(tokenizer, text).tobytes()
 
 
+def test_a_text_is_one_call_and_its_repetition_none(tokenizer, monkeypatch):
+    encoder, asked = P.Encoder(VOCABULARY, RANKS, "<u2"), []
+    ordinary = encoder._ordinary
+    monkeypatch.setattr(encoder, "_ordinary", lambda text: asked.append(text) or ordinary(text))
+    texts = ["to be packed", "to be packed", "", None, "to be packed", "other <|endoftext|>", "other <|endoftext|>", "and more"]
+    assert [encoder.encode(t) for t in texts] == [ids_of(tokenizer, t).astype("<u2").tobytes() for t in texts]
+    assert asked == ["to be packed", "and more"]
+
+
 def test_hilbert_visits_every_cell_by_single_steps():
     side = 8
     grid = np.stack(np.meshgrid(*[np.arange(side)] * 3, indexing="ij"), -1).reshape(-1, 3)
