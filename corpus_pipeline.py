@@ -14,9 +14,17 @@ from quillon.llm import language_id, minhash_dedup, mixing, packing, pii
 from quillon.session import table
 
 
+#: The score that says which language a document has: less than two fifths are as much of others.
+LANGUAGE_SCORE = 0.4
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; a text that is null or has no letter goes."""
-    return language_id.keep_known(docs, language_id.learn(docs))
+    """Documents whose language can be told.
+
+    A text goes that is null or has no letter, is in letters of no learned language, or
+    has no main one among them: the best one's share of all positions is below ``LANGUAGE_SCORE``.
+    """
+    return language_id.keep_known(docs, language_id.learn(docs), LANGUAGE_SCORE)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,10 +21,16 @@ Cases. A null text, or one without any letter, is ``und`` with score 0; so is
 everything where no language could be learned. Equal texts get equal results.
 A text of any length is cut into windows, none of it is left out. Null ids are kept and an
 empty table gives no rows; other columns are not read.
+
+``keep_known`` filters by what was told. There a letter that none of the learned
+windows holds tells nothing, so the score is multiplied by the share of the text's letters
+that they do hold (of either case): of a script that wasn't learned nothing stays. Another
+language in the letters of a learned one is taken for the one it is most like.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,15 +44,23 @@ from quillon.llm.shingles import mix
 
 UNDETERMINED = "und"
 WINDOW, HIDDEN, BATCH = 64, 10, 4096
+#: Learned windows that say which score is usual.
+USUAL = 4096
 
 
 @dataclass
 class Network:
-    """Weights of both directions: tables for bytes, recurrent weights, and the output."""
+    """Weights of both directions: tables for bytes, recurrent weights, and the output.
+
+    ``letters`` are those of the learned windows, in lower case; all but a hundredth
+    of the windows reach the score ``usual``.
+    """
 
     languages: list[str]
     weights: dict[str, np.ndarray] = field(default_factory=dict)
     hidden: int = HIDDEN
+    letters: frozenset[str] = frozenset()
+    usual: float = 0.0
 
     @staticmethod
     def fresh(languages: list[str], hidden: int = HIDDEN, seed: int = 3) -> Network:
@@ -167,11 +181,19 @@ class Network:
                     total[:, k] += np.bincount(owner[at], sums[k], len(raw))
         return total / sizes[:, None]
 
+    def familiar(self, text: str) -> float:
+        """The share of a text's letters that the learned windows hold; it has one at least."""
+        if all(c.lower() in self.letters for c in set(text) if c.isalpha()):
+            return 1.0
+        counts = [(n, c.lower() in self.letters) for c, n in Counter(text).items() if c.isalpha()]
+        return sum(n for n, known in counts if known) / sum(n for n, _ in counts)
+
 
 def train(windows: list[bytes], labels: list[str], steps: int = 260, batch: int = 192, rate: float = 0.012, seed: int = 3, hidden: int = HIDDEN) -> Network:
     """Fit a network to labelled windows of equal length by Adam; classes are drawn evenly."""
     languages = sorted(set(labels))
     network = Network.fresh(languages, hidden, seed)
+    network.letters = frozenset(c for c in set(b" ".join(windows).decode(errors="ignore").lower()) if c.isalpha())
     if len(languages) < 2:
         return network
     data = np.frombuffer(b"".join(windows), np.uint8).reshape(len(windows), -1)
@@ -191,6 +213,8 @@ def train(windows: list[bytes], labels: list[str], steps: int = 260, batch: int
             mean[name] = 0.9 * mean[name] + 0.1 * g
             square[name] = 0.98 * square[name] + 0.02 * g * g
             network.weights[name] -= (now * (mean[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.98**step)) + 1e-8)).astype(np.float32)
+    some = rng.permutation(len(windows))[:USUAL]
+    network.usual = float(np.quantile(network.predict([windows[i] for i in some]).max(1), 0.01))
     return network
 
 
@@ -257,19 +281,22 @@ def classify(docs: DataFrame, network: Network) -> DataFrame:
 def keep_known(docs: DataFrame, network: Network, least: float = 0.0) -> DataFrame:
     """The rows, with all their columns, whose language could be told with ``least`` score.
 
-    With no languages learned nothing can be told, and every text with a letter stays.
+    A network that reaches less on what it learned from asks no more than is usual
+    there. With no languages learned nothing can be told, and every text with a letter stays.
     """
     names = docs.columns
-    languages, weights, hidden = network.languages, network.weights, network.hidden
 
     def rows(batches):
-        net = Network(languages, weights, hidden)
+        asked = min(least, network.usual)
         for batch in batches:
             raw = batch.column("text").to_pylist()
-            read = [i for i, x in enumerate(raw) if x and any(map(str.isalpha, x))]
-            keep = np.zeros(len(raw), bool)
-            if read:
-                keep[read] = net.predict([raw[i].encode() for i in read]).max(1) >= least if languages else True
+            keep = np.array([bool(x) and any(map(str.isalpha, x)) for x in raw], bool)
+            if network.languages:
+                share = np.array([network.familiar(x) if k else 0.0 for x, k in zip(raw, keep.tolist(), strict=True)])
+                keep &= share >= asked
+                read = np.flatnonzero(keep)
+                if len(read):
+                    keep[read] = network.predict([raw[i].encode() for i in read]).max(1) * share[read] >= asked
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(names))], names).filter(pa.array(keep))
 
     return map_arrow(docs, rows, docs.schema)

@@ -38,6 +38,21 @@ def test_language_drops_texts_without_letters(steps):
     assert sorted(after) == sorted(r for r in before if r.text and any(map(str.isalpha, r.text)))
 
 
+def test_texts_whose_language_cannot_be_told_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    longest = {r.lang: r.text for r in sorted(docs.collect(), key=lambda r: len(r.text or ""))}
+    assert len(longest) == 4
+    odd = {
+        6000: "".join(longest[k][i : i + 400] for i in range(0, 1200, 400) for k in sorted(longest)),  # a quarter in each language
+        6001: "Ελληνικό κείμενο που δεν έχει μάθει κανείς εδώ",
+        6002: "這是一個沒有人學過的中文文本",
+        6003: "Это русский текст (in part)",
+    }
+    more = spark.createDataFrame([(k, text, None, "src0", len(text)) for k, text in odd.items()], docs.schema)
+    after = C.identify_language(spark, docs.unionByName(more), "").collect()
+    assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text)))
+
+
 def test_one_of_each_group_stays(steps):
     before, after = (d.collect() for d in steps[1])
     assert sorted(str(r.doc_id) for r in after) == sorted(k for k, _, _, keep in brute([(r.doc_id, r.text) for r in before], 80) if keep)
