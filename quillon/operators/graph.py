@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.operators.recursive import closure, fixpoint, pin
+from quillon.operators.recursive import closure, fixpoint, pin, reachable
 
 
 #: Order of kinds in a plan; destructive steps come last.
@@ -38,13 +38,9 @@ def dependencies(edges: DataFrame, runtime: bool = False) -> DataFrame:
 
 def dependents_of(edges: DataFrame, starts: DataFrame, runtime: bool = False) -> DataFrame:
     """Nodes (node) that depend on a start node, directly or not; the starts themselves left out."""
-    some = (edges if runtime else edges.filter("kind <> 'runtime'")).select("src", "dst")
-    first = starts.join(some, F.col("node") == F.col("dst")).select(F.col("src").alias("node"))
-
-    def step(fresh):
-        return fresh.join(some, F.col("node") == F.col("dst")).select(F.col("src").alias("node"))
-
-    return fixpoint(first, step).join(starts.select("node"), "node", "left_anti")
+    some = edges if runtime else edges.filter("kind <> 'runtime'")
+    back = some.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return reachable(back, starts).join(starts.select("node"), "node", "left_anti")
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:

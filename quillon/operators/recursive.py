@@ -1,7 +1,9 @@
 """Recursion: fixpoints without repeats, search order and cycle marks.
 
 A round joins only what the last round found. Results are written to the shared
-checkpoint folder each round, so the lineage doesn't grow.
+checkpoint folder each round, so the lineage doesn't grow. In a fixpoint and along
+paths only a small round is broadcast, never the edges or what is known: these would
+pass through the driver again in each round.
 """
 
 from __future__ import annotations
@@ -25,6 +27,14 @@ def pin(df: DataFrame) -> DataFrame:
 #: Rounds that are kept apart before they are written together.
 APART = 16
 
+#: Rows of a round that are broadcast to the edges at most; a larger round is shuffled with them.
+SMALL = 65_536
+
+
+def _to_join(fresh: DataFrame, n: int) -> DataFrame:
+    """A round of ``n`` rows, marked with how it joins; without a mark Spark takes the edges' files for the smaller side."""
+    return fresh.hint("broadcast" if n <= SMALL else "merge")
+
 
 def _union(rounds: list[DataFrame]) -> DataFrame:
     out = rounds[0]
@@ -37,16 +47,18 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], limit: int
     """WITH RECURSIVE ... UNION: what is new in each round, until nothing is.
 
     A round is written once; what is there is written again only every ``APART``
-    rounds. Raises RuntimeError beyond ``limit`` rounds; UNION ends by itself on
-    finite data.
+    rounds. What a step makes is set against what is known by grouping, which can't
+    be broadcast or pushed down to the edges. Raises RuntimeError beyond ``limit``
+    rounds; UNION ends by itself on finite data.
     """
     fresh = pin(seed.distinct())
-    names, rounds = fresh.columns, [fresh]
+    names, rounds, n = fresh.columns, [fresh], fresh.count()
     for _ in range(limit):
-        known = _union(rounds).toDF(*(f"__known_{i}" for i in range(len(names))))
-        same = [F.col(c).eqNullSafe(F.col(f"__known_{i}")) for i, c in enumerate(names)]
-        fresh = pin(step(fresh).select(*names).distinct().join(known, same, "left_anti"))
-        if fresh.isEmpty():
+        made = step(_to_join(fresh, n)).select(*names, F.lit(False).alias("__known"))
+        both = made.unionByName(_union(rounds).withColumn("__known", F.lit(True)))
+        fresh = pin(both.groupBy(*names).agg(F.max("__known").alias("__known")).filter("not __known").select(*names))
+        n = fresh.count()
+        if not n:
             return _union(rounds)
         rounds.append(fresh)
         if len(rounds) > APART:
@@ -76,8 +88,8 @@ def reachable(edges: DataFrame, start: DataFrame, node: str = "node") -> DataFra
     def step(fresh):
         return fresh.join(edges, F.col(node) == F.col("src")).select(F.col("dst").alias(node))
 
-    first = start.join(edges, F.col(node) == F.col("src")).select(F.col("dst").alias(node))
-    return fixpoint(first, step)
+    begun = pin(start.select(node))
+    return fixpoint(step(_to_join(begun, begun.count())), step)
 
 
 def paths(edges: DataFrame, start: DataFrame, node: str = "node", limit: int = 1000) -> DataFrame:
@@ -87,13 +99,14 @@ def paths(edges: DataFrame, start: DataFrame, node: str = "node", limit: int = 1
     ``path`` for SEARCH DEPTH FIRST, by ``depth`` and ``node`` for BREADTH FIRST.
     """
     fresh = pin(start.select(node, F.array(node).alias("path"), F.lit(0).alias("depth"), F.lit(False).alias("is_cycle")))
-    every = fresh
+    every, n = fresh, fresh.count()
     for _ in range(limit):
         fresh = pin(
-            fresh.filter(~F.col("is_cycle")).join(edges, F.col(node) == F.col("src"))
+            _to_join(fresh, n).filter(~F.col("is_cycle")).join(edges, F.col(node) == F.col("src"))
             .select(F.col("dst").alias(node), F.array_append("path", F.col("dst")).alias("path"), (F.col("depth") + 1).alias("depth"), F.array_contains("path", F.col("dst")).alias("is_cycle"))
         )
-        if fresh.isEmpty():
+        n = fresh.count()
+        if not n:
             return every
         every = pin(every.unionByName(fresh))
     raise RuntimeError(f"paths are longer than {limit}")

@@ -239,6 +239,50 @@ def test_recursion_ends_on_cycles(spark):
     assert recursive.closure(edges.limit(0)).count() == 0
 
 
+def _broadcast_rows(spark, after=-1):
+    """Rows of all broadcasts in executions later than ``after``, and the last execution."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, total, last = spark._jsparkSession.sharedState().statusStore(), 0, after
+    found = store.executionsList()
+    for i in range(found.size()):
+        at = found.apply(i).executionId()
+        last = max(last, at)
+        if at <= after:
+            continue
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for j in range(nodes.size()):
+            if nodes.apply(j).name() != "BroadcastExchange":
+                continue
+            metrics = nodes.apply(j).metrics()
+            for m in (metrics.apply(k) for k in range(metrics.size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total, last
+
+
+@pytest.mark.parametrize("small", [65_536, 100])
+def test_recursion_never_broadcasts_the_edges(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(recursive, "SMALL", small, raising=False)
+    spark.range(2, 3000).selectExpr("id div 2 as src", "id as dst").write.parquet(str(tmp_path / "e"))
+    edges, start = spark.read.parquet(str(tmp_path / "e")), spark.createDataFrame([(1,)], "node long")
+    _, last = _broadcast_rows(spark)
+    assert sorted(r[0] for r in recursive.reachable(edges, start).collect()) == list(range(2, 3000))
+    sent, last = _broadcast_rows(spark, last)
+    assert 0 < sent <= min(3000, 3 * small)  # each row found at most once; the edges have 2998 rows in each of 11 rounds
+    assert recursive.paths(edges, start).count() == 2999
+    assert 0 < _broadcast_rows(spark, last)[0] <= min(3000, 3 * small)
+
+
+def test_fixpoint_knows_nulls_and_rows_of_many_columns(spark):
+    step = {(None, 0): [("a", 1), (None, 1)], ("a", 1): [(None, 0), ("a", None)], ("a", None): [("a", 1), ("a", None)]}
+    moves = spark.createDataFrame([(*a, *b) for a, to in step.items() for b in to], "a string, b int, c string, d int")
+    made = recursive.fixpoint(
+        spark.createDataFrame([(None, 0), (None, 0)], "k string, n int"),
+        lambda f: f.join(moves, F.col("k").eqNullSafe(F.col("a")) & F.col("n").eqNullSafe(F.col("b"))).select(F.col("d").alias("n"), F.col("c").alias("k")),
+    )
+    assert sorted(map(tuple, made.collect()), key=str) == sorted([(None, 0), ("a", 1), (None, 1), ("a", None)], key=str)
+
+
 def test_compare_by_keys_with_nulls(spark):
     a = spark.createDataFrame([(1, None, "x"), (None, 1, "y"), (3, 3, "z")], "k int, l int, v string")
     b = spark.createDataFrame([(1, None, "x"), (None, 1, None), (4, 4, "q")], "k int, l int, v string")
